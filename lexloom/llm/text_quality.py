@@ -31,59 +31,32 @@ THRESHOLDS = {
     "noise_share": 0.25,
 }
 
-_INVISIBLE = r"[­​-‏⁠﻿]"
+_ODD_BLANKS = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+_INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 #: Full-width forms and their ordinary characters.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
-_BULLET = r"^\s*(?:[-*•·‣◦▪●+>]\s+|\(?\d{1,4}[.)]\s+|№\s*\d+\s*|#\d+\s+|\[[ xXхХ✓]?\]\s*|(?-i:[a-zа-я])\)\s+|[☐☑✓✗]\s*)\S"
+_ODD = r"[\x{00AD}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{202F}\x{205F}\x{2060}\x{2028}\x{2029}\x{3000}\x{FEFF}\x{FF01}-\x{FF5E}\r]"
+_BULLET = r"^\s*(?:[-*•·‣◦▪●+>]\s+|\(?\d{1,4}[.)]\s+|№\s*\d+\s*|#\d+\s+|\[[ xXхХ✓]?\]\s*|[a-zа-я]\)\s+|[☐☑✓✗]\s*)\S"
 _VALUE_LINE = r"^\s*[\p{L}\p{N}_/%][\p{L}\p{N}_/% .]{0,24}\s*[:=]\s*\S+(?:\s+\S+){0,4}\s*$"
-_PRICE_LINE = r"^.{2,60}?\s*(?:—|–|-|\.{2,}|…|:|=)\s*\$?€?\d[\d .,]*\p{L}{0,4}\.?\s*$"
+_PRICE_LINE = r"(?:—|–|-|\.{2,}|…|:|=)\s*[$€]?\d[\d .,]*\p{L}{0,4}\.?\s*$"
 _STOP = r"[.!?…。]['\"»”’)\]]*\s*$"
-_CONSONANTS = r"[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщ]{5,}|[ъьы]{2,}|[ъь][аоуыэ]|^[ъьы]|[жшчщ]ы|[аеёиоуыэюя]{4,}|[aeiouy]{5,}|^[^aeiouyаеёиоуыэюяіїєäöüáéíóúàèùâêîôûæœ]{3,}$"
-
-
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, r"\r\n|[\n\r  ]"), lambda x: F.length(F.trim(x)) > 0)
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
-
-
-def _count(text: Column, pattern: str) -> Column:
-    """Characters that match."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-
-
-def _n(lines: Column, test) -> Column:
-    return F.size(F.filter(lines, test))
-
-
-def _n_words(c: Column) -> Column:
-    return F.size(_words(c))
-
-
-def _sum_words(lines: Column, test) -> Column:
-    return F.aggregate(F.filter(lines, test), F.lit(0), lambda a, x: a + _n_words(x))
+_CELL = r"(?:^|[\t|,;\s])-?\d[\d.,:%-]*(?=$|[\t|,;\s])|(?:^|[\t|,;]|\s\s)\s*[-–—]\s*(?=$|[\t|,;\s])|[-:=+]{3,}"
+_CONSONANT = "[b-df-hj-np-tv-xzб-джзй-нп-тф-щ]"
+_NOISE = rf"{_CONSONANT}{{5,}}|[ъь][ъьыаоуэ]|[жшчщ]ы|ыы|[аеёиоуыэ-яaeiouy]{{4}}+|(?<!\p{{L}})(?:{_CONSONANT}{{3,}}(?!\p{{L}})|[ъьы])"
+_DELIMITERS = ("\t", "|", ";", ",")
 
 
 def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def _fields(line: Column, pattern: str) -> Column:
-    return F.size(F.split(line, pattern))
+def _kept(text: Column, pattern: str) -> Column:
+    """Characters outside the matches."""
+    return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _tabular(lines: Column, pattern: str, least: int, numbers: bool = True) -> Column:
-    """Lines of the commonest shape of a table: as many fields as the first or second line, at least ``least``, short, mostly with figures."""
-    first = _fields(F.try_element_at(lines, F.lit(1)), pattern)
-    second = _fields(F.try_element_at(lines, F.lit(2)), pattern)
-    width = F.greatest(first, second)
-    cell = r"(?:^|[\t|,;]|\s)[-–—]?\d[\d.,:%-]*(?=$|[\t|,;\s])|(?:^|[\t|,;]|\s\s)\s*[-–—]\s*(?=$|[\t|,;\s])|[-:=+]{3,}"
-    fits = F.filter(lines, lambda x: (_fields(x, pattern) == width) & (_n_words(x) <= width * 5))
-    with_figures = _n(fits, lambda x: x.rlike(cell))
-    enough = (width >= least) & (F.size(fits) >= 2)
-    return F.when(enough & (with_figures * 2 >= F.size(fits) if numbers else F.lit(True)), F.size(fits)).otherwise(0)
+def _chars(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") -> DataFrame:
@@ -92,56 +65,82 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
     Null and blank texts get statistics of zero, the only reason ``empty`` and a null kind. Texts are taken whole, of any length; ties
     (as many words in list as in table lines) go to the table. Columns of ``df`` named like a statistic don't matter, as all are inside
     the struct; a column named like the struct is replaced."""
-    text = F.coalesce(F.translate(F.regexp_replace(F.col(text_col), _INVISIBLE, ""), _WIDE, _NARROW), F.lit(""))
     # Steps are columns of their own, not fields of a struct: Catalyst would inline a struct's fields and split the text again for each use.
     at = lambda f: f"__{name}_{f}"
     q = lambda f: F.col(at(f))
-    out = df.withColumn(at("t"), text)
-    out = out.withColumns({at("lines"): _lines(q("t")), at("words"): _words(q("t")), at("bare"): F.regexp_replace(q("t"), r"<[^<>]{0,200}>|&(?:[a-z]{2,8}|#\d+);?|(\S)\1{9,}", " "), at("plain"): _words(F.regexp_replace(F.lower(q("t")), r"[^\p{L}\p{M}]+", " "))})
-    lines, words, t = q("lines"), q("words"), q("t")
-    n_words, n_lines = F.size(words), F.size(lines)
-    visible = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
-    letters = _count(t, r"\p{L}")
-    prose_line = lambda x: x.rlike(_STOP) & (_n_words(x) >= 4)
-    dashed = lambda x: x.rlike(r"^\s*[–—]\s") & ~x.rlike(_STOP) & (_n_words(x) <= 8)
-    bullet = lambda x: x.rlike(_BULLET) & ~(x.rlike(r"[.!?…]\s*$") & (_n_words(x) > 8)) | dashed(x)
-    price = lambda x: x.rlike(_PRICE_LINE) & (_n_words(x) <= 9)
-    value = lambda x: x.rlike(_VALUE_LINE) & ~x.rlike(r"[.!?…]\s*$") & ~x.rlike(r"(?i)^\s*(user|assistant)\s*:")
-    short = lambda x: (_n_words(x) <= 6) & ~x.rlike(r"[.!?…;,]['\"»”)]*\s*$") & ~x.rlike(r"^\s*[—–]\s")
-    plain = q("plain")
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    plain_text = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, _INVISIBLE, ""), _ODD_BLANKS, " "), r"\r\n?|[\x{2028}\x{2029}]", "\n"), _WIDE, _NARROW)
+    out = df.withColumn(at("t"), F.when(raw.rlike(_ODD), plain_text).otherwise(raw))
+    t, lines, words, low = q("t"), q("lines"), q("words"), q("low")
+    marked = F.contains(t, F.lit("<")) | F.contains(t, F.lit("&")) | t.rlike(r"(\S)\1{9}")
+    out = out.withColumns({
+        at("lines"): F.filter(F.split(t, "\n"), lambda x: x.rlike(r"\S")),
+        at("words"): F.filter(F.split(t, r"\s+"), lambda x: x != ""),
+        at("low"): F.lower(t),
+        at("visible"): _kept(t, r"\s+"),
+        at("letters"): _kept(t, r"\P{L}+"),
+        at("bare_letters"): F.when(marked, _kept(t, r"<[^<>]{0,200}>|&(?:[a-z]{2,8}|#\d+);?|(\S)\1{9,}|\P{L}")),
+    })
+
+    def line(x: Column) -> Column:
+        n = F.regexp_count(x, F.lit(r"\S+"))
+        return F.struct(
+            x.alias("x"), n.alias("n"), x.rlike(_STOP).alias("stop"), x.rlike(_BULLET).alias("bullet"), x.rlike(r"^\s*[–—]\s").alias("dash"),
+            F.when(n <= 9, x.rlike(_PRICE_LINE)).otherwise(False).alias("price"),
+            F.when(n <= 12, x.rlike(_VALUE_LINE)).otherwise(False).alias("value"),
+            F.struct(*[F.when(n <= 60, _chars(x, c)).otherwise(0).alias(f"d{i}") for i, c in enumerate(_DELIMITERS)], F.when(n <= 60, F.regexp_count(F.trim(x), F.lit(r"\s{2,}"))).otherwise(0).alias("d4")).alias("d"),
+        )
+
+    out = out.withColumn(at("ls"), F.transform(lines, line))
+    ls = q("ls")
+    size = lambda test: F.size(F.filter(ls, test))
+    mass = lambda test: F.aggregate(F.filter(ls, test), F.lit(0), lambda a, x: a + x["n"])
+    listing = lambda x: x["bullet"] & ~(x["stop"] & (x["n"] > 8)) | x["dash"] & ~x["stop"] & (x["n"] <= 8)
+    ended = lambda x: x["x"].rlike(r"[;,]['\"»”)]*\s*$")
+    short = lambda x: (x["n"] <= 6) & ~x["stop"] & ~x["dash"] & ~ended(x)
+    value = lambda x: x["value"] & ~x["x"].rlike(r"[.!?…]\s*$|(?i)^\s*(?:user|assistant)\s*:")
+
+    def tabular(i: int, least: int) -> Column:
+        """Lines of the shape of a table: as many fields as the first or second line (at least ``least``), short, mostly with figures."""
+        width = F.greatest(F.get(ls, F.lit(0))["d"][f"d{i}"], F.get(ls, F.lit(1))["d"][f"d{i}"])
+        fits = F.filter(ls, lambda x: (x["d"][f"d{i}"] == width) & (x["n"] <= (width + 1) * 5))
+        figures = F.size(F.filter(fits, lambda x: x["x"].rlike(_CELL)))
+        return F.when((width + 1 >= least) & (F.size(fits) >= 2), F.when(figures * 2 >= F.size(fits), F.size(fits)).otherwise(0)).otherwise(0)
+
+    n_words, n_lines, visible = F.size(words), F.size(lines), q("visible")
+    tables = F.greatest(tabular(0, 2), tabular(1, 3), tabular(2, 3), tabular(3, 3), tabular(4, 2))
     stats = {
         "n_words": n_words,
         "n_lines": n_lines,
         "n_visible": visible,
-        "n_letters": letters,
-        "mean_word_length": _share(F.aggregate(words, F.lit(0), lambda a, x: a + F.length(x)), n_words),
-        "symbol_ratio": _share(_count(t, r"[#…]|\.\.\."), n_words),
-        "letter_share": _share(letters, visible),
-        "stop_line_share": _share(_n(lines, lambda x: x.rlike(_STOP)), n_lines),
-        "bullet_share": _share(_n(lines, bullet), n_lines),
-        "ellipsis_share": _share(_n(lines, lambda x: x.rlike(r"(?:…|\.\.\.)\s*$")), n_lines),
-        "lettered_share": _share(_n(words, lambda x: x.rlike(r"\p{L}")), n_words),
-        "tag_share": _share(_n(words, lambda x: x.rlike(r"^#[\p{L}]")), n_words),
+        "mean_word_length": _share(visible, n_words),
+        "symbol_ratio": _share(_chars(t, "#") + _chars(t, "…") + _chars(t, "...") / 3, n_words),
+        "letter_share": _share(q("letters"), visible),
+        "bare_letter_share": _share(F.coalesce(q("bare_letters"), q("letters")), visible),
+        "stop_line_share": _share(size(lambda x: x["stop"]), n_lines),
+        "bullet_share": _share(size(listing), n_lines),
+        "ellipsis_share": _share(size(lambda x: x["x"].rlike(r"(?:…|\.\.\.)\s*$")), n_lines),
+        "lettered_share": _share(n_words - F.regexp_count(t, F.lit(r"(?<!\S)[!-@\[-`{-~«»—–…№]+(?!\S)")), n_words),
+        "tag_share": F.when(F.contains(t, F.lit("#")), _share(F.regexp_count(t, F.lit(r"(?<!\S)#\p{L}")), n_words)).otherwise(0.0),
+        "hex_share": _share(F.regexp_count(t, F.lit(r"(?<!\S)[0-9A-Fa-f]{2}(?!\S)")), n_words),
         "distinct_share": _share(F.size(F.array_distinct(words)), n_words),
         "distinct_line_share": _share(F.size(F.array_distinct(lines)), n_lines),
-        "common_share": _share(_n(plain, lambda x: x.isin(*sorted(set(COMMON_WORDS)))), F.size(plain)),
-        "noise_share": _share(_n(plain, lambda x: x.rlike(_CONSONANTS) & (F.length(x) > 2)), F.size(plain)),
-        "bare_letter_share": _share(_count(q("bare"), r"\p{L}"), visible),
-        "hex_share": _share(_n(words, lambda x: x.rlike(r"^[0-9A-Fa-f]{2}$")), n_words),
-        "mojibake_share": _share(_count(t, r"[ÃÐÑÂ][\x{0080}-\x{00BF}\x{0152}-\x{0178}\x{2013}-\x{2122}\x{0192}\x{02C6}\x{02DC}�]?"), visible),
-        "broken_share": _share(_count(t, "�"), visible),
-        "list_words": _sum_words(lines, lambda x: bullet(x) | price(x) | short(x)),
-        "value_words": _sum_words(lines, value),
-        "prose_words": _sum_words(lines, prose_line),
-        "table_lines": F.greatest(_tabular(lines, "\t", 2), _tabular(lines, r"\s*\|\s*", 3), _tabular(lines, r"\s*;\s*", 3), _tabular(lines, r"\s*,\s*", 3), _tabular(F.transform(lines, lambda x: F.trim(x)), r"\s{2,}", 2)),
-        "value_lines": _n(lines, value),
-        "inline_marks": F.size(F.regexp_extract_all(t, F.lit(r"(?:^|\s)(\(?\d{1,3}[).])\s+\S"), 1)),
-        "inline_items": F.size(F.split(t, r"\s*;\s+|\s+[/|>»·•→]\s+")),
-        "sentences": F.size(F.split(t, r"[.!?…]+(?:\s|$)")),
-        "comma_items": F.size(F.split(t, r",\s+")),
+        "common_share": _share(F.size(F.filter(F.split(low, r"[^\p{L}]+"), lambda x: x.isin(*sorted(set(COMMON_WORDS))))), n_words),
+        "mojibake_share": F.when(t.rlike("[ÃÐÑÂ]"), _share(2 * F.regexp_count(t, F.lit("[ÃÐÑÂ]")), visible)).otherwise(0.0),
+        "broken_share": _share(_chars(t, "�"), visible),
+        "list_words": mass(lambda x: listing(x) | x["price"] | short(x)),
+        "value_words": mass(value),
+        "value_lines": size(value),
+        "table_lines": F.when(n_lines >= 2, tables).otherwise(0),
+        "inline_marks": F.regexp_count(t, F.lit(r"(?<!\S)\(?\d{1,3}[).]\s+\S")),
+        "inline_items": F.regexp_count(t, F.lit(r";\s+|\s[/|>»·•→]\s")) + 1,
+        "sentences": F.regexp_count(t, F.lit(r"[.!?…]+(?:\s|$)")) + 1,
     }
     out = out.withColumns({at(k): v for k, v in stats.items()})
-    empty = n_words == 0
+    # Unpronounceable words matter only where common words are rare; the share is 0 elsewhere.
+    stats["noise_share"] = F.when(q("common_share") < 0.1, _share(F.regexp_count(low, F.lit(_NOISE)), q("n_words"))).otherwise(0.0)
+    out = out.withColumn(at("noise_share"), stats["noise_share"])
+    empty = q("n_words") == 0
     rules = [
         ("short_or_long_words", ~q("mean_word_length").between(*THRESHOLDS["mean_word_length"])),
         ("symbols", q("symbol_ratio") > THRESHOLDS["symbol_ratio"]),
@@ -151,28 +150,26 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
         ("no_common_words", (q("common_share") == 0) & (q("n_words") >= 8)),
         ("repetition", (q("distinct_share") < THRESHOLDS["distinct_share"]) & (q("n_words") >= 6)),
         ("repeated_lines", (q("distinct_line_share") <= 0.5) & (q("n_lines") >= 3)),
-        ("unpronounceable", (q("noise_share") > THRESHOLDS["noise_share"]) & (F.size(q("plain")) >= 3)),
+        ("unpronounceable", (q("noise_share") > THRESHOLDS["noise_share"]) & (q("n_words") >= 3)),
         ("markup", (q("bare_letter_share") < 0.25) & (q("letter_share") >= 0.25)),
         ("few_letters", q("letter_share") < 0.4),
         ("broken_characters", q("broken_share") > 0.05),
-        ("hex_dump", q("hex_share") > 0.6),
         ("wrong_decoding", q("mojibake_share") > 0.3),
+        ("hex_dump", q("hex_share") > 0.6),
         ("tags", q("tag_share") > 0.5),
         ("no_stops", (q("stop_line_share") < 0.1) & (q("n_lines") >= 3)),
     ]
     table = (q("table_lines") >= 2) & (q("table_lines") * 2 >= q("n_lines")) | (q("value_lines") >= 2) & (q("value_words") * 10 >= q("n_words") * 6)
-    per_item = q("n_words") / F.greatest(q("inline_items"), F.lit(1))
+    per_item = q("n_words") / q("inline_items")
     inline = ((q("inline_marks") >= 3) & (q("n_words") / q("inline_marks") <= 8) & (q("sentences") <= q("inline_marks") + 2)) | ((q("inline_items") >= 4) & (per_item <= 6) & (q("sentences") <= 2 + q("inline_items") / 4))
     listed = (q("n_lines") >= 2) & (q("list_words") * 2 > q("n_words")) | inline
-    word_junk = (q("noise_share") > THRESHOLDS["noise_share"]) & (q("common_share") < 0.1) | (q("noise_share") > 0.1) & (q("common_share") < 0.03) | (q("hex_share") > 0.6) | (q("mojibake_share") > 0.3)
+    noisy = (q("noise_share") > THRESHOLDS["noise_share"]) & (q("common_share") < 0.1) | (q("noise_share") > 0.1) & (q("common_share") < 0.03)
     repeated = (q("distinct_share") < THRESHOLDS["distinct_share"]) & (q("n_words") >= 6) & (q("table_lines") < 3) | (q("distinct_line_share") <= 0.5) & (q("n_lines") >= 3) & (q("bullet_share") < 0.5) & ~table
-    long_words = q("mean_word_length") > 25
-    junk = (q("bare_letter_share") < 0.4) & ~table & ~listed | word_junk | repeated | long_words | (q("broken_share") > 0.05) | (q("tag_share") > 0.5) | (q("letter_share") < 0.4) & ~table & ~listed
+    encoded = (q("mean_word_length") > 25) | (q("broken_share") > 0.05) | (q("mojibake_share") > 0.3) | (q("hex_share") > 0.6)
+    unlettered = (q("bare_letter_share") < 0.4) & ~table & ~listed | (q("bare_letter_share") < 0.2) & ~table
+    junk = noisy | repeated | encoded | unlettered | (q("tag_share") > 0.5)
     kind = F.when(empty, F.lit(None).cast("string")).when(junk, "junk").when(table, "table").when(listed, "list").otherwise("prose")
-    keep = [
-        "n_words", "n_lines", "n_visible", "mean_word_length", "symbol_ratio", "letter_share", "stop_line_share", "bullet_share", "ellipsis_share", "lettered_share",
-        "distinct_share", "distinct_line_share", "common_share", "noise_share", "bare_letter_share", "broken_share", "mojibake_share", "hex_share", "tag_share", "list_words", "table_lines", "value_lines", "inline_marks", "inline_items",
-    ]
+    hidden = ("value_words", "sentences")
     reasons = F.when(empty, F.array(F.lit("empty"))).otherwise(F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in rules]), lambda x: x.isNotNull()))
-    out = out.withColumn(name, F.struct(*[q(k).alias(k) for k in keep], reasons.alias("reasons"), kind.alias("kind")))
+    out = out.withColumn(name, F.struct(*[q(k).alias(k) for k in stats if k not in hidden], reasons.alias("reasons"), kind.alias("kind")))
     return out.drop(*[c for c in out.columns if c.startswith(f"__{name}_")])

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import materialize
+
 # Letters of the same look, in the order Latin, Cyrillic, Greek; a dot where the script has none.
 LOOKALIKES = """
 A А Α
@@ -264,7 +266,9 @@ def look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def same_look_pairs(classes: DataFrame) -> DataFrame:
     """``id_a, id_b`` with id_a < id_b: different texts of the same look.
 
-    Looks with one text only are dropped before the join; AQE splits a look that very many rows share."""
+    The hashes are written once, as both the count of texts per look and the join read them. Looks with one text only are dropped before
+    the join; AQE splits a look that very many rows share."""
+    classes = materialize(classes, "looks")
     texts = classes.groupBy("look1", "look2").agg(F.min("text1").alias("lo"), F.max("text1").alias("hi"), F.min("text2").alias("lo2"), F.max("text2").alias("hi2"))
     several = texts.where("lo <> hi or lo2 <> hi2").select("look1", "look2")
     rows = classes.join(several, ["look1", "look2"], "left_semi")

@@ -4,12 +4,510 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lexloom.functions import clean, dialogue, filters, language, logits, metrics, sizing, suites
+from lexloom.functions.patterns import CARD, CONTROL, EMAIL, PHONE, PIECE, SPACE_VARIANTS, URL, WS
+from lexloom.operators import budget, corpus, dedup, shards
+from lexloom.session import materialize, read_table, shared_dir, spread
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- pieces of SQL -------------------------------------------------------------------------------------------------
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _rr(x: str, pattern: str, by: str = "''") -> str:
+    return f"regexp_replace({x}, '{_q(pattern)}', {by}, 'g')"
+
+
+def _strip(x: str) -> str:
+    return _rr(x, rf"\A[{WS}]+|[{WS}]+\z")
+
+
+def _clean(x: str, urls: bool = False) -> str:
+    out = _rr(_rr(f"nfc_normalize(coalesce({x}, ''))", SPACE_VARIANTS, "' '"), CONTROL)
+    if urls:
+        out = _rr(_rr(out, URL, "'<URL>'"), EMAIL, "'<EMAIL>'")
+    return _strip(_rr(_rr(out, r"[ \t\r\f\x{0b}]+", "' '"), r"\n{3,}", "chr(10) || chr(10)"))
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '[{WS}]+'), lambda w: w <> '')"
+
+
+def _norm(x: str) -> str:
+    return f"array_to_string({_words(x)}, ' ')"
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _language(x: str) -> str:
+    low = f"lower({x})"
+    found = f"regexp_extract_all({low}, '[а-яёa-z]+')"
+    ru, en = (f"len(list_filter({found}, lambda w: w IN ({_in(s)})))" for s in (language.RU_STOP, language.EN_STOP))
+    cyr, lat = f"length({_rr(low, '[^а-яё]')})", f"length({_rr(low, '[^a-z]')})"
+    return f"CASE WHEN len({found}) = 0 THEN 'other' WHEN {cyr} > 2 * {lat} THEN 'ru' WHEN {ru} > {en} AND {cyr} > 0 THEN 'ru' WHEN {en} > 0 OR {lat} > 2 * {cyr} THEN 'en' ELSE 'other' END"
+
+
+def _guess(x: str) -> str:
+    cyr, lat = f"length({_rr(x, r'[^\x{0400}-\x{04FF}]')})", f"length({_rr(x, '[^A-Za-z]')})"
+    return f"CASE WHEN {cyr} > {lat} THEN 'ru' WHEN {lat} > {cyr} THEN 'en' ELSE 'other' END"
+
+
+def _spam(x: str) -> str:
+    count = lambda c: f"(length({x}) - length(replace({x}, '{c}', '')))"
+    return f"({count('!')} > 0.1 * length({x}) OR {count('?')} > 0.1 * length({x}) OR length({_rr(x, r'[^\p{Lu}]')}) > 0.7 * length({_rr(x, r'\P{L}')}) OR regexp_matches({x}, '!{{4,}}|\\?{{4,}}|\\.{{4,}}'))"
+
+
+def _pii(x: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, '{_q(p)}')" for p in (EMAIL, PHONE, CARD)) + ")"
+
+
+def _reason(x: str) -> str:
+    w = _words(x)
+    top = f"list_max(list_transform(list_distinct(regexp_extract_all({x}, '(?s).')), lambda c: length({x}) - length(replace({x}, c, ''))))"
+    return (
+        f"CASE WHEN length({x}) NOT BETWEEN 50 AND 100000 THEN 'length' WHEN len({w}) NOT BETWEEN 10 AND 50000 THEN 'word_count' "
+        f"WHEN length(array_to_string({w}, '')) < len({w}) THEN 'word_length' WHEN len(list_distinct({w})) / len({w}) < 0.15 THEN 'unique_words' "
+        f"WHEN {_pii(x)} THEN 'pii' WHEN {_spam(x)} THEN 'spam' WHEN NOT coalesce({top} / length({x}) <= 0.3, false) THEN 'repetition' END"
+    )
+
+
+_TURN = rf"(?m)^(USER|ASSISTANT):[{WS}]*(.*)$"
+
+
+def _turns(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '{_TURN}', 2), lambda t: {_strip('t')})"
+
+
+# --- documents -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH c AS (SELECT doc_id, {_clean('text')} AS t FROM documents), k AS (SELECT * FROM c WHERE {_reason('t')} IS NULL), u AS (SELECT min(doc_id) AS doc_id FROM k GROUP BY sha256({_norm('t')})), l AS (SELECT {_language('t')} AS lang, t FROM k WHERE doc_id IN (SELECT doc_id FROM u)) SELECT lang, count(*) AS documents, sum(length(t))::BIGINT AS chars, sum(length(t))::DOUBLE / count(*) AS mean_chars FROM l GROUP BY lang")
+def corpus_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Clean, filter, deduplicate and count by language."""
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", clean.clean_text("text").alias("t"))
+    kept = materialize(docs.where(filters.filter_document("t")), "kept")
+    once = dedup.exact_dedup(kept, "t", "doc_id").select(language.detect_language("t").alias("lang"), F.length("t").cast("long").alias("n"))
+    return once.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("chars"), (F.sum("n").cast("double") / F.count(F.lit(1))).alias("mean_chars"))
+
+
+@query(f"SELECT raw_id, {_clean('text')} AS cleaned FROM raw")
+def clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "raw").select("raw_id", "text")).select("raw_id", clean.clean_text("text").alias("cleaned"))
+
+
+@query(f"SELECT raw_id, {_clean('text', True)} AS cleaned FROM raw WHERE text IS NOT NULL")
+def redact_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = spread(read_table(spark, d, "raw").select("raw_id", "text")).where("text is not null")
+    return rows.select("raw_id", clean.clean_text("text", redact_urls=True, redact_emails=True).alias("cleaned"))
+
+
+@query(f"SELECT raw_id, sha256({_norm('text')}) AS doc_hash, len(regexp_extract_all(text, '{PIECE[1:-1]}'))::BIGINT AS pieces FROM raw WHERE text IS NOT NULL")
+def doc_hashes(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "raw").where("text is not null")
+    return rows.select("raw_id", clean.doc_hash("text").alias("doc_hash"), F.size(clean.pre_tokenize("text")).cast("long").alias("pieces"))
+
+
+@query(f"SELECT raw_id, {_language('text')} AS detected, {_guess('text')} AS guessed FROM raw WHERE text IS NOT NULL")
+def detect_language(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "raw").where("text is not null")
+    return rows.select("raw_id", language.detect_language("text").alias("detected"), language.language_guess("text").alias("guessed"))
+
+
+@query(f"SELECT {_language('text')} AS lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def language_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("text is not null")
+    return rows.select(language.detect_language("text").alias("lang"), F.length("text").cast("long").alias("n_chars")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"SELECT raw_id, {_reason("coalesce(text, '')")} AS reason FROM raw")
+def filter_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "raw").select("raw_id", "text")).select("raw_id", filters.reject_reason("text").alias("reason"))
+
+
+@query(f"SELECT raw_id, length(text) BETWEEN 50 AND 100000 AS ok_length, len({_words('text')}) BETWEEN 10 AND 50000 AS ok_words, CASE WHEN len({_words('text')}) > 0 THEN len(list_distinct({_words('text')})) / len({_words('text')}) >= 0.15 ELSE false END AS ok_unique, NOT {_pii('text')} AS ok_pii, NOT {_spam('text')} AS ok_spam FROM raw WHERE text IS NOT NULL")
+def filter_flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "raw").where("text is not null")
+    return rows.select("raw_id", filters.filter_length("text").alias("ok_length"), filters.filter_word_count("text").alias("ok_words"), filters.filter_unique_words("text").alias("ok_unique"), filters.filter_pii("text").alias("ok_pii"), filters.filter_spam("text").alias("ok_spam"))
+
+
+_SOURCE = "lower(trim(source))"
+
+
+@query(f"SELECT {_SOURCE} AS source, count(*) AS n, count(*) FILTER (WHERE {_pii('text')}) AS with_pii, count(*) FILTER (WHERE regexp_matches(text, '{_q(PHONE)}')) AS with_phone FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def pii_by_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").where("text is not null").select(F.lower(F.trim("source")).alias("source"), (~filters.filter_pii("text")).alias("p"), filters.has_phone("text").alias("t"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("p").alias("with_pii"), F.count_if("t").alias("with_phone"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256({_norm("coalesce(text, '')")})")
+def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.exact_dedup(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id")
+
+
+@query(f"SELECT sha256({_norm("coalesce(text, '')")}) AS doc_hash, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.duplicate_groups(read_table(spark, d, "documents"))
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= greatest(1, floor(0.05 * count(*) OVER ())) THEN 'validation' ELSE 'train' END AS split FROM documents")
+def train_val_split(spark: SparkSession, d: str) -> DataFrame:
+    return budget.first_share(read_table(spark, d, "documents").select("doc_id"), 0.05).select("doc_id", "split")
+
+
+@query("SELECT doc_id, before FROM (SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) WHERE before < 200000")
+def char_budget(spark: SparkSession, d: str) -> DataFrame:
+    return budget.within_budget(read_table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 200_000).select("doc_id", "before")
+
+
+@query(f"SELECT doc_id, source, n_chars FROM (SELECT doc_id, {_SOURCE} AS source, n_chars, row_number() OVER (PARTITION BY {_SOURCE} ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 5")
+def longest_per_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "n_chars", (-F.col("n_chars")).alias("_o"))
+    return dedup.capped_per_key(rows, ["source"], ["_o", "doc_id"], 5).drop("_o")
+
+
+@query()
+def language_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").select("doc_id", F.lower("lang").alias("lang"))
+    return budget.keep_by_language(rows, {"ru": 0.5, "en": 1.0})
+
+
+@query(f"SELECT DISTINCT doc_id FROM documents WHERE sha256({_norm("coalesce(text, '')")}) NOT IN (SELECT sha256({_norm("coalesce(text, '')")}) FROM raw)")
+def leakage_free(spark: SparkSession, d: str) -> DataFrame:
+    key = clean.doc_hash(F.coalesce(F.col("text"), F.lit("")))
+    return budget.leakage_free(read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "raw").select("text"), key).select("doc_id").distinct()
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^{WS}]+')) AS word FROM documents) GROUP BY word")
+def word_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.word_frequency(read_table(spark, d, "documents").select("text"))
+
+
+_BYTES = "list_transform(range(0, length(hex(encode({w}))) // 2), lambda i: ('0x' || substr(hex(encode({w})), 2 * i + 1, 2))::INTEGER)"
+_PAIRS = f"""w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^{WS}]+')) AS word FROM documents) GROUP BY word),
+b AS (SELECT n, {_BYTES.format(w="word")} AS ids FROM w),
+p AS (SELECT n, unnest(list_transform(range(1, len(ids)), lambda i: {{'a': ids[i], 'b': ids[i + 1]}})) AS p FROM b WHERE len(ids) > 1),
+c AS (SELECT p.a AS a, p.b AS b, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, n FROM c")
+def byte_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.pair_frequency(corpus.word_frequency(read_table(spark, d, "documents").select("text")), shards.byte_tokens("word"))
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, n FROM c ORDER BY n DESC, a, b LIMIT 1")
+def best_byte_pair(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.best_pair(byte_pairs(spark, d))
+
+
+# --- dialogues -----------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT dialogue_id, written_at, array_to_string({_turns('text')}, chr(1)) AS turns, len({_turns('text')})::BIGINT AS n FROM shards WHERE text IS NOT NULL")
+def dialogue_turns(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "shards").where("text is not null").withColumn("t", dialogue.split_turns("text"))
+    return rows.select("dialogue_id", "written_at", F.array_join("t", "\x01").alias("turns"), F.size("t").cast("long").alias("n"))
+
+
+_MESSAGES = f"list_filter(list_transform({_turns('text')}, lambda t, i: {{'role': CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END, 'content': t}}), lambda m: m.content <> '')"
+
+
+@query(f"SELECT dialogue_id, written_at, array_to_string(list_transform({_MESSAGES}, lambda m: m.role || ':' || m.content), chr(1)) AS messages, len({_MESSAGES}) >= 2 AND len(list_filter({_MESSAGES}, lambda m: m.role = 'assistant')) > 0 AS trainable FROM shards WHERE text IS NOT NULL")
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "shards").where("text is not null").withColumn("m", dialogue.text_to_messages("text"))
+    return rows.select("dialogue_id", "written_at", F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\x01").alias("messages"), dialogue.trainable("m").alias("trainable"))
+
+
+_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda l: {_strip('l')}), lambda l: l <> '')"
+_ROLE_OK = f"len({_LINES}) > 0 AND len(list_filter(list_transform({_LINES}, lambda l, i: CASE WHEN starts_with(l, CASE WHEN i % 2 = 1 THEN 'USER:' ELSE 'ASSISTANT:' END) THEN 0 ELSE 1 END), lambda x: x = 1)) = 0"
+
+
+@query(f"SELECT dialogue_id, written_at, {_ROLE_OK} AS format, len({_turns('text')}) >= 2 AS min_turns, len(list_filter({_turns('text')}, lambda t: t = '')) = 0 AS no_empty, contains(text, 'USER:') AND contains(text, 'ASSISTANT:') AS no_broken_roles, NOT contains(text, chr(65533)) AS unicode, len(list_filter({_turns('text')}, lambda t: length(t) > 300)) = 0 AS message_len FROM shards WHERE text IS NOT NULL")
+def dialogue_checks(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "shards").where("text is not null")
+    return rows.select(
+        "dialogue_id", "written_at", dialogue.check_format("text").alias("format"), dialogue.check_min_turns("text").alias("min_turns"), dialogue.check_no_empty("text").alias("no_empty"),
+        dialogue.check_no_broken_roles("text").alias("no_broken_roles"), dialogue.check_unicode("text").alias("unicode"), dialogue.check_message_len("text").alias("message_len"),
+    )
+
+
+@query()
+def dialogue_quality(spark: SparkSession, d: str) -> DataFrame:
+    rows = spread(read_table(spark, d, "shards").select("dialogue_id", "text"))
+    return rows.select("dialogue_id", dialogue.quality_report("text").alias("q"), dialogue.check_dialogue("text").alias("kept")).select("dialogue_id", "q.*", "kept")
+
+
+_SIGNATURE = "sha256(array_to_string(signature, chr(1)))"
+
+
+@query(f"WITH d AS (SELECT dialogue_id, any_value(signature) AS signature FROM shards GROUP BY dialogue_id) SELECT dialogue_id FROM (SELECT dialogue_id, signature, row_number() OVER (PARTITION BY {_SIGNATURE} ORDER BY dialogue_id) AS r FROM d) WHERE r <= 3 OR signature IS NULL OR len(signature) = 0")
+def template_cap(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "shards").select("dialogue_id", "signature").dropDuplicates(["dialogue_id"])
+    return dedup.template_cap(rows).select("dialogue_id")
+
+
+@query("SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(bucket) = 0 THEN 'bucket' ELSE 'all' END AS part, coalesce(lang, bucket) AS value, count(*) AS dialogues, sum(turns)::BIGINT AS turns, avg(turns) AS avg_turns FROM shards GROUP BY GROUPING SETS ((lang), (bucket), ())")
+def dialogue_report(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.dialogue_report(read_table(spark, d, "shards"))
+
+
+@query("SELECT shard, count(*) AS dialogues, sum(turns)::BIGINT AS turns, sum(strlen(text)) / (1024.0::DOUBLE * 1024.0) AS size_mb FROM shards GROUP BY shard")
+def dialogue_shards(spark: SparkSession, d: str) -> DataFrame:
+    from lexloom.sources.sinks import dialogue_meta
+
+    return dialogue_meta(read_table(spark, d, "shards").select("shard", "turns", "text", F.lit(0).alias("tokens"))).drop("tokens")
+
+
+@query()
+def near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_dedup(spread(read_table(spark, d, "documents").select("doc_id", "text"))).select("doc_id")
+
+
+@query()
+def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
+    docs = dedup.exact_dedup(spread(read_table(spark, d, "documents").select("doc_id", "text")))
+    return dedup.minhash_pairs(docs)
+
+
+@query()
+def conversation_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = spread(read_table(spark, d, "shards").select("dialogue_id", "text", "signature").dropDuplicates(["dialogue_id"]))
+    return dedup.conversation_dedup(rows)
+
+
+# --- measures ------------------------------------------------------------------------------------------------------
+
+_RW = _words("reply")
+_GRAMS = f"list_transform(range(1, len({_RW}) - 2), lambda i: array_to_string(list_slice({_RW}, i, i + 3), chr(1)))"
+_BY_GRAM = f"len(list_filter(list_distinct({_GRAMS}), lambda g: len(list_filter({_GRAMS}, lambda h: h = g)) > 1))"
+
+
+@query(f"SELECT sample_id, reported_at, CASE WHEN len({_RW}) >= 4 THEN {_BY_GRAM} / len({_GRAMS}) ELSE 0.0 END AS repetition, CASE WHEN len({_RW}) > 0 THEN len(list_distinct({_RW})) / len({_RW}) ELSE 0.0 END AS distinct_share, CASE WHEN length(reply) > 0 THEN (length(reply) - length({_rr('reply', r'[\x{fffd}\x{00}-\x{08}\x{0b}-\x{1f}]')})) / length(reply) ELSE 0.0 END AS invalid, CASE WHEN length(reply) > 0 THEN (length(reply) - length({_rr('reply', rf'[^\p{{L}}\p{{N}}{WS}.,!?;:()«»„“"' + "'" + r'\x{2014}\x{2026}-]')})) / length(reply) ELSE 0.0 END AS symbols, CASE WHEN len(list_filter({_RW}, lambda w: regexp_matches(w, '\\p{{L}}'))) > 0 THEN len(list_filter({_RW}, lambda w: regexp_matches(w, '\\p{{L}}') AND length(w) = 1)) / len(list_filter({_RW}, lambda w: regexp_matches(w, '\\p{{L}}'))) ELSE 0.0 END AS fragments FROM quality_report WHERE reply IS NOT NULL")
+def generation_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "quality_report").where("reply is not null").withColumn("w", clean.words("reply"))
+    return rows.select(
+        "sample_id", "reported_at", metrics.repetition_ratio("w").alias("repetition"), metrics.distinct_ratio("w").alias("distinct_share"),
+        metrics.invalid_char_ratio("reply").alias("invalid"), metrics.non_letter_symbol_ratio("reply").alias("symbols"), metrics.word_fragment_ratio("reply").alias("fragments"),
+    )
+
+
+@query(f"WITH w AS (SELECT sample_id, reported_at, unnest({_RW}) AS w, generate_subscripts({_RW}, 1) AS i FROM quality_report WHERE reply IS NOT NULL), g AS (SELECT *, i - row_number() OVER (PARTITION BY sample_id, reported_at, w ORDER BY i) AS island FROM w), r AS (SELECT sample_id, reported_at, count(*) AS n FROM g GROUP BY sample_id, reported_at, w, island) SELECT sample_id, reported_at, max(n) / sum(n) AS max_run FROM r GROUP BY 1, 2")
+def longest_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "quality_report").where("reply is not null").withColumn("w", clean.words("reply")).where(F.size("w") > 0)
+    return rows.select("sample_id", "reported_at", metrics.max_run_ratio("w").alias("max_run"))
+
+
+_BROKEN = "(invalid_char_ratio > 0.02 OR symbol_ratio > 0.05 OR repetition_ratio > 0.4 OR max_run_ratio > 0.5 OR word_fragment_ratio > 0.3)"
+
+
+@query(f"SELECT checkpoint, suite, count(*) AS samples, avg({_BROKEN}::INTEGER) AS broken_rate, sum(reply_length)::DOUBLE / count(reply_length) AS avg_length FROM quality_report GROUP BY 1, 2")
+def generation_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "quality_report")
+    m = F.struct("invalid_char_ratio", "symbol_ratio", "repetition_ratio", "max_run_ratio", "word_fragment_ratio")
+    return corpus.generation_report(rows, metrics.is_broken(m), ["checkpoint", "suite"]).drop("avg_repetition")
+
+
+@query("SELECT sample_id, reported_at, (" + _strip("prompt") + " = " + _strip("reply") + ")::INTEGER::DOUBLE AS exact, contains(lower(reply), lower('сервер')) OR contains(lower(reply), lower('the')) OR contains(lower(reply), lower('НА')) AS hit FROM quality_report WHERE prompt IS NOT NULL AND reply IS NOT NULL")
+def answer_matches(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "quality_report").where("prompt is not null and reply is not null")
+    accepted = F.array(F.lit("сервер"), F.lit("the"), F.lit("НА"))
+    return rows.select("sample_id", "reported_at", metrics.exact_match("prompt", "reply").alias("exact"), metrics.contains_any("reply", accepted).alias("hit"))
+
+
+def _items_sql() -> str:
+    rows = ", ".join(f"('{s}', '{_q(p)}', [{', '.join(repr(a) for a in answers)}]::VARCHAR[])" for s, p, answers, _ in suites.ITEMS)
+    return f"(VALUES {rows}) AS t(suite, prompt, answers)"
+
+
+@query(f"SELECT suite, count(*) AS total, count(*) FILTER (WHERE len(answers) > 0) AS scored, coalesce(avg(CASE WHEN len(answers) > 0 THEN (len(list_filter(answers, lambda a: contains(lower(prompt), lower(a)))) > 0)::INTEGER END), 0.0) AS accuracy FROM {_items_sql()} GROUP BY suite")
+def benchmark_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in suites scored with the prompts as their own answers."""
+    return corpus.suite_scores(suites.suite(spark).withColumn("hit", metrics.contains_any("prompt", "answers")))
+
+
+# --- shards and windows --------------------------------------------------------------------------------------------
+
+PER_SHARD, SEQ = 50_000, 128
+_STREAM = f"""t AS (SELECT doc_id, list_append({_BYTES.format(w="text")}, 258) AS ids FROM documents WHERE text IS NOT NULL),
+s AS (SELECT unnest(ids) AS id, row_number() OVER () AS x, doc_id, generate_subscripts(ids, 1) AS k FROM t),
+o AS (SELECT id, row_number() OVER (ORDER BY doc_id, k) - 1 AS pos FROM s),
+h AS (SELECT (pos // {PER_SHARD})::INTEGER AS shard, list(id ORDER BY pos) AS tokens FROM o GROUP BY 1)"""
+
+
+def _shards(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text").where("text is not null"))
+    return shards.token_shards(docs.select("doc_id", shards.byte_tokens("text").alias("ids")), PER_SHARD)
+
+
+@query(f"WITH {_STREAM} SELECT shard, len(tokens)::BIGINT AS n, sha256(array_to_string(tokens, ',')) AS digest FROM h")
+def token_shards(spark: SparkSession, d: str) -> DataFrame:
+    return _shards(spark, d).select("shard", F.size("tokens").cast("long").alias("n"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("digest"))
+
+
+@query(f"WITH {_STREAM} SELECT 'uint16' AS dtype, count(*) AS num_shards, sum(len(tokens))::BIGINT AS total_tokens FROM h")
+def shard_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return shards.shard_manifest(_shards(spark, d), 968).drop("shards")
+
+
+@query(f"WITH {_STREAM}, w AS (SELECT shard, unnest(range(0, len(tokens) - {SEQ} + 1, {SEQ})) AS start, tokens FROM h WHERE len(tokens) >= {SEQ}) SELECT shard, start::INTEGER AS start, list_sum(tokens[start + 1 : start + {SEQ} - 1])::BIGINT AS sum_x, list_sum(tokens[start + 2 : start + {SEQ}])::BIGINT AS sum_y FROM w")
+def sequence_windows(spark: SparkSession, d: str) -> DataFrame:
+    pairs = shards.shifted_pairs(shards.sequence_windows(_shards(spark, d), SEQ))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    return pairs.select("shard", "start", total("x").alias("sum_x"), total("y").alias("sum_y"))
+
+
+@query("WITH o AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch FROM documents) SELECT doc_id, batch FROM o WHERE batch IN (SELECT batch FROM o GROUP BY batch HAVING count(*) = 32)")
+def document_batches(spark: SparkSession, d: str) -> DataFrame:
+    return shards.batches(read_table(spark, d, "documents").select("doc_id"), ["doc_id"], 32)
+
+
+# --- sizes, schedules, logits --------------------------------------------------------------------------------------
+
+
+def _configs_sql() -> str:
+    rows = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"{v}::BIGINT" for v in c) + ")" for c in sizing.CONFIGS)
+    return f"(VALUES {rows}) AS t(name, v, h, l, nh, nkv, f, tied)"
+
+
+_PARTS = f"SELECT name, v * h AS embedding, l * (h * nh * (h // nh) * 2 + 2 * h * nkv * (h // nh)) AS attention, l * 3 * h * f AS ffn, l * 2 * h + h AS norm, CASE WHEN tied THEN 0::BIGINT ELSE v * h END AS lm_head FROM {_configs_sql()}"
+
+
+@query(f"SELECT *, embedding + attention + ffn + norm + lm_head AS total FROM ({_PARTS})")
+def parameter_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return sizing.parameter_breakdown(sizing.configs(spark))
+
+
+@query(f"SELECT name, total, total::DOUBLE / 1e9 * 16 AS total_gb, (6 * total)::DOUBLE * 1e10 AS training_flops FROM (SELECT name, embedding + attention + ffn + norm + lm_head AS total FROM ({_PARTS}))")
+def training_estimate(spark: SparkSession, d: str) -> DataFrame:
+    total = sizing.parameter_breakdown(sizing.configs(spark)).select("name", "total")
+    return sizing.memory_estimate(sizing.training_estimate(total, "total", 1e10, 8, 989.0, 0.4), "total").select("name", "total", "total_gb", "training_flops")
+
+
+@query("SELECT c_custkey AS device, greatest(0.0, c_acctbal) AS vram_gb, (SELECT arg_max(config, need) FROM (VALUES " + ", ".join(f"('{c}', {v})" for c, v in sizing.CONFIG_VRAM) + ") AS n(config, need) WHERE need <= greatest(0.0, c_acctbal)) AS config FROM customer")
+def recommend_config(spark: SparkSession, d: str) -> DataFrame:
+    devices = read_table(spark, d, "customer").select(F.col("c_custkey").alias("device"), F.greatest(F.lit(0.0), "c_acctbal").alias("vram_gb"))
+    return sizing.recommend(devices, spark.createDataFrame(sizing.CONFIG_VRAM, "config string, min_vram_gb double"))
+
+
+@query("SELECT range AS step, round(CASE WHEN range < 100 THEN 0.001 * range / 100 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(pi() * least(1.0, (range - 100) / 900.0))) END, 9) AS lr FROM range(0, 1200)")
+def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1200).select(F.col("id").alias("step"), F.round(sizing.warmup_cosine("id", 100, 1000, 0.001, 0.0001), 9).alias("lr"))
+
+
+@query("SELECT vec_id, round((label - avg(label) OVER w) / (stddev_samp(label) OVER w + 1e-8), 6) AS advantage FROM (SELECT *, vec_id % 10 AS g FROM embeddings) WINDOW w AS (PARTITION BY g)")
+def group_advantage(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "embeddings").select("vec_id", "label", F.pmod("vec_id", F.lit(10)).alias("g"))
+    return budget.group_advantage(rows, "g", "label").select("vec_id", F.round("advantage", 6).alias("advantage"))
+
+
+@query("SELECT vec_id, list_sort(list_transform(list_filter(range(1, len(embedding) + 1), lambda i: embedding[i] >= list_reverse_sort(embedding)[5]), lambda i: i - 1))::INTEGER[]::VARCHAR AS kept FROM embeddings")
+def top_k_positions(spark: SparkSession, d: str) -> DataFrame:
+    kept = F.array_sort(logits.top_k("embedding", 5))
+    return read_table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(kept.cast("array<string>"), ", "), F.lit("]")).alias("kept"))
+
+
+@query()
+def top_p_positions(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "embeddings")
+    return rows.select("vec_id", F.array_join(logits.top_p("embedding", 0.5).cast("array<string>"), ",").alias("top_p"), F.array_join(logits.min_p("embedding", 0.5).cast("array<string>"), ",").alias("min_p"))
+
+
+# --- streams and extensions ----------------------------------------------------------------------------------------
+
+
+def _stream_input(spark: SparkSession, d: str) -> DataFrame:
+    """The shards table as a stream over a folder of the shared directory."""
+    path = f"{shared_dir(spark)}/lexloom/stream-{abs(hash(d))}"
+    rows = read_table(spark, d, "shards").select("dialogue_id", "text", "signature", F.col("created_at").cast("timestamp").alias("created_at")).dropDuplicates(["dialogue_id"])
+    rows.write.mode("overwrite").parquet(f"{path}/in")
+    return spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+
+
+def _run_stream(df: DataFrame) -> DataFrame:
+    import uuid
+
+    from lexloom.streaming.dialogues import write_batches
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lexloom/stream-{uuid.uuid4().hex}"
+    write_batches(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query(f"SELECT count(*) AS n, count(DISTINCT doc_hash) AS texts FROM (SELECT DISTINCT sha256({_norm("coalesce(text, '')")}) AS doc_hash FROM shards)")
+def stream_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from lexloom.streaming.dialogues import stream_exact_dedup as once
+
+    return _run_stream(once(_stream_input(spark, d))).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_hash").alias("texts"))
+
+
+@query(f"WITH d AS (SELECT dialogue_id, any_value(signature) AS signature FROM shards GROUP BY dialogue_id) SELECT count(*) AS n FROM (SELECT signature, row_number() OVER (PARTITION BY {_SIGNATURE} ORDER BY dialogue_id) AS r FROM d) WHERE r <= 3 OR signature IS NULL OR len(signature) = 0")
+def stream_template_cap(spark: SparkSession, d: str) -> DataFrame:
+    from lexloom.streaming.dialogues import stream_template_cap as capped
+
+    return _run_stream(capped(_stream_input(spark, d))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = F.window("ts", "1 hour")
+    rows = read_table(spark, d, "events").groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    return rows.select("window.start", "event_type", "n", "value")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, sum(new)::BIGINT AS sessions, count(*) AS n FROM g GROUP BY user_id")
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = (F.col("ts") - F.lag("ts").over(w)) < F.expr("INTERVAL '30' MINUTE")
+    rows = read_table(spark, d, "events").withColumn("new", F.when(gap, 0).otherwise(1))
+    return rows.groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines and read again by the line reader."""
+    import uuid
+
+    from lexloom.sources.readers import parse_jsonl
+
+    path = f"{shared_dir(spark)}/lexloom/jsonl-{uuid.uuid4().hex}"
+    rows = read_table(spark, d, "documents").where("text is not null")
+    rows.select(F.to_json(F.struct(F.concat(F.col("doc_id"), F.lit(" "), F.col("text")).alias("text"))).alias("value")).write.option("compression", "none").text(path)
+    back = spark.read.text(path).select(parse_jsonl(F.col("value")).alias("text")).where("text is not null")
+    return back.select(F.substring_index("text", " ", 1).cast("long").alias("doc_id"), F.expr("substring(text, instr(text, ' ') + 1)").alias("text"))
+
+
+@query()
+def synthetic_dialogues(spark: SparkSession, d: str) -> DataFrame:
+    from lexloom.sources.synthetic import dialogues
+
+    return dialogues(spark, 200, seed=1).select("id", "text", "turns", "lang", "persona", "style", "bucket")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.binding import let
 from lexloom.functions.clean import _c, strip, words
 from lexloom.functions.patterns import WS
 
@@ -56,10 +57,6 @@ def check_no_broken_roles(text: Column | str) -> Column:
     return F.contains(_c(text), F.lit("USER:")) & F.contains(_c(text), F.lit("ASSISTANT:"))
 
 
-def _top_count(items: Column) -> Column:
-    return F.array_max(F.transform(F.array_distinct(items), lambda x: F.size(F.filter(items, lambda y: y == x))))
-
-
 def _top_of_sorted(items: Column) -> Column:
     """Length of the longest run in the sorted array: the count of the most frequent element, in n log n."""
     zero = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("cur"), F.lit(0).alias("best"))
@@ -73,15 +70,19 @@ def _top_of_sorted(items: Column) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """Joined runs of ``n`` elements; empty if there are fewer."""
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(items) - (n - 1))), lambda i: F.array_join(F.slice(items, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
+    runs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - (n - 1))), lambda i: F.array_join(F.slice(x, i, n), "\x01"))
+    return let(items, lambda x: F.when(F.size(x) >= n, runs(x)).otherwise(F.array().cast("array<string>")))
 
 
 def check_repetition(text: Column | str, share: float = 0.5, n: int = 4) -> Column:
     """No turn is said by more than half of the turns (and more than twice), no 4-gram makes up more than a quarter of over 20 words."""
-    turns = split_turns(text)
-    w = words(F.lower(F.array_join(turns, " ")))
-    calm = _top_of_sorted(turns) <= F.greatest(F.lit(2.0), F.size(turns) * share)
-    return F.when(F.size(turns) == 0, False).otherwise(calm & ((F.size(w) <= 20) | (_top_of_sorted(ngrams(w, n)) / F.size(w) <= 0.25)))
+
+    def judge(turns: Column) -> Column:
+        calm = _top_of_sorted(turns) <= F.greatest(F.lit(2.0), F.size(turns) * share)
+        varied = let(words(F.lower(F.array_join(turns, " "))), lambda w: (F.size(w) <= 20) | (_top_of_sorted(ngrams(w, n)) / F.size(w) <= 0.25))
+        return F.when(F.size(turns) == 0, False).otherwise(calm & varied)
+
+    return let(split_turns(text), judge)
 
 
 def check_unicode(text: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.binding import let
 from lexloom.functions.clean import _c, words
 from lexloom.functions.language import detect_language
 from lexloom.functions.patterns import CARD, EMAIL, PHONE
@@ -20,14 +21,11 @@ def filter_word_count(text: Column | str, low: int = 10, high: int = 50_000) ->
 
 def filter_word_char_ratio(text: Column | str, least: float = 1.0) -> Column:
     """Mean word length; a text without words fails."""
-    w = words(text)
-    n = F.size(w)
-    return F.when(n > 0, F.length(F.array_join(w, "")) / n >= least).otherwise(False)
+    return let(words(text), lambda w: F.when(F.size(w) > 0, F.length(F.array_join(w, "")) / F.size(w) >= least).otherwise(False))
 
 
 def filter_unique_words(text: Column | str, least: float = 0.15) -> Column:
-    w = words(text)
-    return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w) >= least).otherwise(False)
+    return let(words(text), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w) >= least).otherwise(False))
 
 
 def has_email(text: Column | str) -> Column:
@@ -58,9 +56,15 @@ def filter_spam(text: Column | str) -> Column:
 
 def top_char_share(text: Column | str) -> Column:
     """Share of the most frequent character; null for an empty text."""
+    # Characters in sorted order: the longest run is the most frequent one, in one pass however many different ones there are.
+    zero = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a: Column, c: Column) -> Column:
+        run = F.when(a["prev"] == c, a["run"] + 1).otherwise(1)
+        return F.struct(c.alias("prev"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
     t = _c(text)
-    chars = F.array_distinct(F.split(t, ""))
-    return F.when(F.length(t) > 0, F.array_max(F.transform(chars, lambda c: F.length(t) - F.length(F.replace(t, c, F.lit(""))))) / F.length(t))
+    return F.when(F.length(t) > 0, F.aggregate(F.array_sort(F.filter(F.split(t, ""), lambda c: c != "")), zero, step, lambda a: a["best"]) / F.length(t))
 
 
 def filter_repetition(text: Column | str, most: float = 0.3) -> Column:

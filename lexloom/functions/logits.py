@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.binding import let
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -12,9 +14,8 @@ def _c(x: Column | str) -> Column:
 
 def softmax(logits: Column | str) -> Column:
     x = F.transform(_c(logits), lambda v: v.cast("double"))
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+    shifted = let(F.struct(x.alias("x"), F.array_max(x).alias("m")), lambda s: F.transform(s["x"], lambda v: F.exp(v - s["m"])))
+    return let(shifted, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total)))
 
 
 def temperature(logits: Column | str, t: float) -> Column:
@@ -40,14 +41,13 @@ def count_penalties(logits: Column | str, history: Column | str, frequency: floa
 def top_k(logits: Column | str, k: int) -> Column:
     """Positions (from 0) of the k largest logits; all that tie with the last of them stay."""
     x = _c(logits)
-    least = F.element_at(F.sort_array(x, False), F.least(F.lit(k), F.size(x)))
-    return F.when(F.size(x) > 0, _where(x, lambda v: v >= least)).otherwise(F.array().cast("array<int>"))
+    kept = let(F.get(F.sort_array(x, False), F.least(F.lit(k), F.size(x)) - 1), lambda least: _where(x, lambda v: v >= least))
+    return F.when(F.size(x) > 0, kept).otherwise(F.array().cast("array<int>"))
 
 
 def min_p(logits: Column | str, share: float) -> Column:
     """Positions whose probability is at least a share of the largest."""
-    p = softmax(logits)
-    return _where(p, lambda v: v >= share * F.array_max(p))
+    return let(softmax(logits), lambda p: let(F.array_max(p), lambda top: _where(p, lambda v: v >= share * top)))
 
 
 def top_p(logits: Column | str, mass: float) -> Column:
@@ -77,12 +77,13 @@ def clipped_ratio_loss(log_new: Column, log_old: Column, advantage: Column, clip
 
 def rms_norm(values: Column | str, eps: float = 1e-6) -> Column:
     x = F.transform(_c(values), lambda v: v.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x)
-    return F.transform(x, lambda v: v / F.sqrt(mean + eps))
+    return let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x), lambda mean: F.transform(x, lambda v: v / F.sqrt(mean + eps)))
 
 
 def layer_norm(values: Column | str, eps: float = 1e-5) -> Column:
     x = F.transform(_c(values), lambda v: v.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    var = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(x)
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+
+    def centred(mean: Column) -> Column:
+        return let(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(x), lambda var: F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps)))
+
+    return let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x), centred)

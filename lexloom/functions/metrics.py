@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.binding import let
 from lexloom.functions.clean import _c, strip, words
 from lexloom.functions.dialogue import ngrams
 from lexloom.functions.patterns import WS
@@ -12,12 +13,14 @@ from lexloom.functions.patterns import WS
 
 def repetition_ratio(tokens: Column | str, n: int = 4) -> Column:
     """Distinct n-grams that occur more than once, per n-gram; 0 below n tokens."""
-    grams = ngrams(F.transform(_c(tokens), lambda x: x.cast("string")), n)
-    seen = F.array_sort(grams)
-    size = F.size(seen)
-    # In sorted order an n-gram occurs more than once where it equals its successor but not its predecessor.
-    again = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), size)), lambda i: F.get(seen, i - 1).eqNullSafe(F.get(seen, i)) & ~F.get(seen, i - 1).eqNullSafe(F.get(seen, i - 2)) & (i < size))
-    return F.when(size > 0, F.size(again) / size).otherwise(0.0)
+    zero = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("again"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["prev"].eqNullSafe(x), a["run"] + 1).otherwise(1)
+        return F.struct(x.alias("prev"), run.alias("run"), (a["again"] + F.when(run == 2, 1).otherwise(0)).alias("again"))
+
+    share = lambda g: F.when(F.size(g) > 0, F.aggregate(F.array_sort(g), zero, step, lambda a: a["again"]) / F.size(g)).otherwise(0.0)
+    return let(ngrams(F.transform(_c(tokens), lambda x: x.cast("string")), n), share)
 
 
 def distinct_ratio(tokens: Column | str) -> Column:
@@ -27,14 +30,14 @@ def distinct_ratio(tokens: Column | str) -> Column:
 
 def max_run_ratio(tokens: Column | str) -> Column:
     """Longest run of equal tokens, per token."""
-    t = F.transform(_c(tokens), lambda x: x.cast("string"))
+    strings = F.transform(_c(tokens), lambda x: x.cast("string"))
     zero = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("cur"), F.lit(0).alias("best"))
 
     def step(a: Column, x: Column) -> Column:
         cur = F.when((a["cur"] > 0) & a["prev"].eqNullSafe(x), a["cur"] + 1).otherwise(1)
         return F.struct(x.alias("prev"), cur.alias("cur"), F.greatest(a["best"], cur).alias("best"))
 
-    return F.when(F.size(t) > 0, F.aggregate(t, zero, step, lambda a: a["best"]) / F.size(t)).otherwise(0.0)
+    return let(strings, lambda t: F.when(F.size(t) > 0, F.aggregate(t, zero, step, lambda a: a["best"]) / F.size(t)).otherwise(0.0))
 
 
 def _share(text: Column | str, pattern: str) -> Column:
@@ -54,8 +57,8 @@ def non_letter_symbol_ratio(text: Column | str) -> Column:
 
 def word_fragment_ratio(text: Column | str) -> Column:
     """Single letters among the words that contain a letter."""
-    w = F.filter(words(text), lambda x: x.rlike(r"\p{L}"))
-    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.length(x) == 1)) / F.size(w)).otherwise(0.0)
+    lettered = F.filter(words(text), lambda x: x.rlike(r"\p{L}"))
+    return let(lettered, lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.length(x) == 1)) / F.size(w)).otherwise(0.0))
 
 
 def assess_generation(text: Column | str, tokens: Column | str) -> Column:

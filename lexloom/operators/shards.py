@@ -17,8 +17,7 @@ def pick_dtype(vocab_size: Column | int) -> Column:
 def byte_tokens(text: Column | str) -> Column:
     """Ids 0-255 of the UTF-8 bytes: the tokenizer without merges, JVM-side."""
     t = F.col(text) if isinstance(text, str) else text
-    h = F.hex(F.encode(t, "utf-8"))
-    return F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(h) - 1), F.lit(2)), lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(t, "utf-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", ids_col: str = "ids", add_eos: bool = True) -> DataFrame:

@@ -308,7 +308,7 @@ def conversation_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 _RW = _words("reply")
 _GRAMS = f"list_transform(range(1, len({_RW}) - 2), lambda i: array_to_string(list_slice({_RW}, i, i + 3), chr(1)))"
-_BY_GRAM = f"len(list_filter(list_distinct({_GRAMS}), lambda g: len(list_filter({_GRAMS}, lambda h: h = g)) > 1))"
+_BY_GRAM = f"len(list_filter(map_values(list_aggregate({_GRAMS}, 'histogram')), lambda c: c > 1))"
 
 
 @query(f"SELECT sample_id, reported_at, CASE WHEN len({_RW}) >= 4 THEN {_BY_GRAM} / len({_GRAMS}) ELSE 0.0 END AS repetition, CASE WHEN len({_RW}) > 0 THEN len(list_distinct({_RW})) / len({_RW}) ELSE 0.0 END AS distinct_share, CASE WHEN length(reply) > 0 THEN (length(reply) - length({_rr('reply', r'[\x{fffd}\x{00}-\x{08}\x{0b}-\x{1f}]')})) / length(reply) ELSE 0.0 END AS invalid, CASE WHEN length(reply) > 0 THEN (length(reply) - length({_rr('reply', rf'[^\p{{L}}\p{{N}}{WS}.,!?;:()«»„“"' + "'" + r'\x{2014}\x{2026}-]')})) / length(reply) ELSE 0.0 END AS symbols, CASE WHEN len(list_filter({_RW}, lambda w: regexp_matches(w, '\\p{{L}}'))) > 0 THEN len(list_filter({_RW}, lambda w: regexp_matches(w, '\\p{{L}}') AND length(w) = 1)) / len(list_filter({_RW}, lambda w: regexp_matches(w, '\\p{{L}}'))) ELSE 0.0 END AS fragments FROM quality_report WHERE reply IS NOT NULL")

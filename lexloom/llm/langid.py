@@ -307,14 +307,23 @@ def label_texts(texts: list[str | None], net: ByteGRU, dialogues: bool) -> list[
 SEGMENTS = "array<struct<seg_no:int,lang:string,confidence:double,first:int,last:int>>"
 
 
-def label_languages(df: DataFrame, net: ByteGRU, text_col: str = "text", dialogues: bool = False, name: str = "language") -> DataFrame:
-    """Add a struct ``name``: ``lang`` (a code or ``mixed``), ``confidence`` and ``segments`` (maximal runs of sentences in one language).
-
-    A text is mixed if at least one whole sentence (of a dialogue: turn) is in another language than the rest. Null texts and texts
-    without letters have a null language and no segments. Texts of any length are taken whole. A column named like the struct is replaced."""
-
-    @F.pandas_udf(f"lang string, confidence double, segments {SEGMENTS}")
-    def label(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(label_texts(list(s), net, dialogues), columns=["lang", "confidence", "segments"])
-
-    return df.withColumn(name, label(F.col(text_col)))
+def label_languages(df: DataFrame, net: ByteGRU, id_col: str, text_col: str = "text", dialogues: bool = False, skip: Column | None = None, carry: Column | None = None) -> DataFrame:
+    """``id, carried, lang, confidence, segments`` of every row: ``lang`` is a code or ``mixed``, ``segments`` are the maximal runs of
+    sentences in one language.
+
+    A text is mixed if at least one whole sentence (of a dialogue: turn) is in another language than the rest. Null texts, texts without
+    letters and rows where ``skip`` holds have a null language and no segments. ``carry`` is a string that is passed on. Texts of any length
+    are taken whole, repeated rows give repeated rows, other columns don't matter."""
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = label_texts(list(pdf["text"]), net, dialogues)
+            out = pd.DataFrame(found, columns=["lang", "confidence", "segments"])
+            out.insert(0, "id", pdf["id"].to_numpy())
+            out.insert(1, "carried", pdf["carried"].to_numpy())
+            yield out
+
+    # An operator of its own and not a column: filters above it must not be pushed into what computes its input.
+    text = F.col(text_col) if skip is None else F.when(~F.coalesce(skip, F.lit(False)), F.col(text_col))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (carry if carry is not None else F.lit(None)).cast("string").alias("carried"), text.alias("text"))
+    return rows.mapInPandas(label, f"id long, carried string, lang string, confidence double, segments {SEGMENTS}")

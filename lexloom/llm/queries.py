@@ -40,29 +40,26 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
 def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     raw, shards = read_table(spark, d, "raw"), read_table(spark, d, "shards")
     net = langid.fit([(raw, "raw_id", "text", "lang"), (shards, "dialogue_id", "text", "lang")])
-    # Junk has no language. It is marked, not filtered: a filter would be pushed into the statistics and compute them twice.
-    written = text_quality.text_stats(spread(raw.select("raw_id", "lang", "text"))).select("raw_id", "lang", "text", F.coalesce(F.col("quality.kind") == "junk", F.lit(True)).alias("junk"))
-    a = langid.label_languages(written, net).select(F.lit("raw").alias("tab_name"), F.col("raw_id").alias("rec_id"), F.col("lang").alias("recorded"), "language", "junk")
-    spoken = spread(shards.select("dialogue_id", "lang", "text").where(F.col("text").rlike(r"(?U)\S")))
-    b = langid.label_languages(spoken, net, dialogues=True).select(F.lit("shards").alias("tab_name"), F.col("dialogue_id").alias("rec_id"), F.col("lang").alias("recorded"), "language", F.lit(False).alias("junk"))
-    return a, b
+    written = text_quality.text_stats(spread(raw.select("raw_id", "lang", "text")))
+    a = langid.label_languages(written, net, "raw_id", skip=F.col("quality.kind") == "junk", carry=F.col("lang"))
+    b = langid.label_languages(spread(shards.select("dialogue_id", "lang", "text")), net, "dialogue_id", dialogues=True, carry=F.col("lang"))
+    named = lambda df, t: df.withColumnsRenamed({"id": "rec_id", "carried": "recorded"}).withColumn("tab_name", F.lit(t))
+    return named(a, "raw"), named(b, "shards")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     raw, shards = _languages(spark, d)
-    known = langid.recorded(F.col("recorded"))
-    off = ~F.col("junk") & F.col("language.lang").isNotNull() & ~known.eqNullSafe(F.col("language.lang"))
-    whole = F.when(off, F.array(F.struct(F.lit(0).alias("seg_no"), F.col("language.lang").alias("lang")))).otherwise(F.array())
-    parts = F.when(~F.col("junk") & (F.col("language.lang") == langid.MIXED), F.transform("language.segments", lambda s: F.struct(s["seg_no"].alias("seg_no"), s["lang"].alias("lang")))).otherwise(F.array())
-    # One row of each record comes out of the labelling stage, so the network runs once for the record and its segments.
+    off = F.col("lang").isNotNull() & ~langid.recorded(F.col("recorded")).eqNullSafe(F.col("lang"))
+    whole = F.when(off, F.array(F.struct(F.lit(0).alias("seg_no"), F.col("lang").alias("lang")))).otherwise(F.array())
+    parts = F.when(F.col("lang") == langid.MIXED, F.transform("segments", lambda s: F.struct(s["seg_no"].alias("seg_no"), s["lang"].alias("lang")))).otherwise(F.array())
+    # A record and its segments come out of one pass of the network.
     rows = raw.withColumn("_x", F.concat(whole, parts)).unionByName(shards.withColumn("_x", whole))
     return rows.select("tab_name", "rec_id", F.explode("_x").alias("_x")).select("tab_name", "rec_id", "_x.seg_no", "_x.lang").distinct()
 
 
 def p3_labels(spark: SparkSession, d: str) -> DataFrame:
     raw, shards = _languages(spark, d)
-    shown = lambda c: F.when(~F.col("junk"), F.col(f"language.{c}"))
-    return raw.unionByName(shards).select("tab_name", "rec_id", shown("lang").alias("lang"), shown("confidence").alias("confidence"), F.to_json(shown("segments")).alias("segments"))
+    return raw.unionByName(shards).select("tab_name", "rec_id", "lang", "confidence", F.to_json("segments").alias("segments"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

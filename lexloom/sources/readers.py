@@ -19,10 +19,10 @@ EXTENSIONS = ("txt", "jsonl", "md", "html")
 
 def _files(spark: SparkSession, path: str, ext: str, whole: bool) -> DataFrame:
     """The text of files with an extension anywhere below ``path`` (or the file itself), with ``file_path``."""
-    reader = spark.read.option("wholetext", whole).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if not path.endswith(f".{ext}"):
         reader = reader.option("pathGlobFilter", f"*.{ext}")
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    return reader.text(path, wholetext=whole).select("value", F.col("_metadata.file_path").alias("file_path"))
 
 
 def parse_jsonl(value: Column, keep_other: bool = False) -> Column:

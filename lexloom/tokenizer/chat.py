@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ def apply_template(messages: Column | str, generation_prompt: bool = True) -> Co
 
 def encode_messages(messages: Column | str, merges: Merges) -> Column:
     """``role, ids`` of each message, in one Arrow pass."""
-    import pandas as pd
-
     @F.pandas_udf("array<array<int>>")
     def ids(s: pd.Series) -> pd.Series:
         c: Codec = codec(merges)

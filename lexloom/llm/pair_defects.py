@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import materialize
+
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 #: Compressed size with the prompt as dictionary against without, up to which a response is a copy.
 COPY_RATIO = 0.4
@@ -187,6 +189,7 @@ def terminal_counts(texts: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame]:
         F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.when(i > 1, F.get("w", i - 2)).alias("w0"), F.get("w", i - 1).alias("w1"), stop(F.get("w", i)).alias("end")))).alias("x")
     )
     pairs = triples.select("x.*").where(~stop(F.col("w1"))).groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end").cast("long")).alias("n_end"))
+    pairs = materialize(pairs, "word_pairs")
     return pairs.groupBy("w1").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), pairs
 
 
@@ -196,6 +199,7 @@ def pair_defects(df: DataFrame, id_col: str = "sample_id", prompt_col: str = "pr
     Redelivered rows count once (of different rows under one id the smallest pair); null ids are left out. A null or blank reply is empty.
     Pairs without a prompt (null or blank) get no defect. An empty table gives no rows."""
     rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.col(prompt_col).alias("p"), F.col(reply_col).alias("r"))).alias("_x")).select("id", "_x.p", "_x.r")
+    rows = materialize(rows, "pairs")
     words, pairs = terminal_counts([rows.select(F.col("r").alias("t")), rows.select(F.col("p").alias("t"))])
     body = F.regexp_replace(F.coalesce("r", F.lit("")), r"(?U)\s+$", "")
     tail = F.regexp_extract_all(F.lower(body), F.lit(f"({_TOKEN})"), 1)

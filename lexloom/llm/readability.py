@@ -25,6 +25,8 @@ MIN_WORDS = 40
 
 _VOWELS = "aeiouyäöüáéíóúàèùâêîôûœæаеёиоуыэюяіїє"
 _GROUP = re.compile(f"[{_VOWELS}]+")
+# Two vowels that are spoken apart though they stand together.
+_HIATUS = re.compile(r"(?<![cgst])i[ao](?!u)|eo|(?<!q)ua|iu(?=m)|(?<=[aeiou][b-df-hj-np-tv-xz])ea$")
 _CYR = re.compile("[аеёиоуыэюяіїє]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CLAUSE = re.compile(r"(?:[.!?…;:]+|\n+|,|\s[—–-]\s)\s*")
@@ -37,7 +39,7 @@ def syllables(word: str) -> int:
         return max(1, len(_CYR.findall(word)))
     groups = _GROUP.findall(word)
     n = len(groups)
-    n += sum(1 for m in re.finditer(r"ia|io(?!u)|eo|ua|iu(?=m)", word) if not word[m.end() - 2 :].startswith(("iou",)) and not re.match(r"(?:tion|sion|cian|gion)", word[max(0, m.start() - 1) :]))
+    n += len(_HIATUS.findall(word))
     if word.endswith("e") and not word.endswith(("le", "ee", "ye", "ie", "oe")) and n > 1:
         n -= 1
     if re.search(r"[^aeiouytd]ed$", word) and n > 1:

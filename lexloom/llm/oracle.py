@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+# Identical word sequences count as a pair too, also where they are too short for a shingle.
+_P1 = r"""
+WITH d AS (SELECT dialogue_id, any_value(text) AS text FROM shards WHERE text IS NOT NULL GROUP BY dialogue_id),
+w AS (SELECT dialogue_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM d),
+s AS (SELECT DISTINCT dialogue_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+n AS (SELECT dialogue_id, count(*) AS n FROM s GROUP BY dialogue_id),
+c AS (SELECT a.dialogue_id AS id_a, b.dialogue_id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.dialogue_id < b.dialogue_id GROUP BY 1, 2),
+j AS (SELECT id_a, id_b FROM c JOIN n x ON x.dialogue_id = id_a JOIN n y ON y.dialogue_id = id_b WHERE c >= 0.6 * (x.n + y.n - c)),
+e AS (SELECT a.dialogue_id AS id_a, b.dialogue_id AS id_b FROM w a JOIN w b ON a.w = b.w AND a.dialogue_id < b.dialogue_id)
+SELECT id_a, id_b FROM j UNION SELECT id_a, id_b FROM e
+"""
+
+_P6 = r"""
+SELECT raw_id, len(w)::INTEGER AS n_words, len(l)::INTEGER AS n_lines, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0.0 END AS distinct_share,
+       CASE WHEN length(regexp_replace(t, '\s+', '', 'g')) > 0 THEN length(regexp_replace(t, '\P{L}+', '', 'g')) / length(regexp_replace(t, '\s+', '', 'g')) ELSE 0.0 END AS letter_share
+FROM (SELECT raw_id, t, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l
+      FROM (SELECT raw_id, translate(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g'), '\r\n?|[\x{2028}\x{2029}]', chr(10), 'g'), WIDE, NARROW) AS t FROM raw))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    wide = " || ".join(f"chr({c})" for c in range(0xFF01, 0xFF5F))
+    narrow = " || ".join(f"chr({c})" for c in range(0x21, 0x7F))
+    return {"p1_found": _P1, "p6_basic": _P6.replace("WIDE", f"({wide})").replace("NARROW", f"({narrow})")}

@@ -88,6 +88,10 @@ def p6_stats(spark: SparkSession, d: str) -> DataFrame:
     return text_quality.text_stats(spread(read_table(spark, d, "raw").select("raw_id", "text"))).select("raw_id", "quality.*")
 
 
+def p6_basic(spark: SparkSession, d: str) -> DataFrame:
+    return p6_stats(spark, d).select("raw_id", "n_words", "n_lines", "distinct_share", "letter_share")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(read_table(spark, d, "documents"), read_table(spark, d, "pack_specs"), read_merges(read_table(spark, d, "merges")))
 
@@ -121,5 +125,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_groups, p2_found, p2_totals, p3_found, p3_labels, p4_found, p4_canonical, p5_found, p5_defects, p6_found, p6_stats, p7_found, p7_containers, p8_found, p8_mix, p8_report, p9_found, p9_levels)
+    every = (p1_found, p1_groups, p2_found, p2_totals, p3_found, p3_labels, p4_found, p4_canonical, p5_found, p5_defects, p6_found, p6_stats, p6_basic, p7_found, p7_containers, p8_found, p8_mix, p8_report, p9_found, p9_levels)
     return {f.__name__: f for f in every}

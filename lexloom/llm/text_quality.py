@@ -35,7 +35,8 @@ _ODD_BLANKS = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 _INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 #: Full-width forms and their ordinary characters.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
-_ODD = r"[\x{00AD}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{202F}\x{205F}\x{2060}\x{2028}\x{2029}\x{3000}\x{FEFF}\x{FF01}-\x{FF5E}\r]"
+#: What can need the mapping below: three Latin-1 characters and three ranges, few enough to be tested on every character.
+_ODD = r"[\r\x{00A0}\x{00AD}\x{1680}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{FFFF}]"
 _BULLET = r"^\s*(?:[-*•·‣◦▪●+>]\s+|\(?\d{1,4}[.)]\s+|№\s*\d+\s*|#\d+\s+|\[[ xXхХ✓]?\]\s*|[a-zа-я]\)\s+|[☐☑✓✗]\s*)\S"
 _VALUE_LINE = r"^\s*[\p{L}\p{N}_/%][\p{L}\p{N}_/% .]{0,24}\s*[:=]\s*\S+(?:\s+\S+){0,4}\s*$"
 _PRICE_LINE = r"(?:—|–|-|\.{2,}|…|:|=)\s*[$€]?\d[\d .,]*\p{L}{0,4}\.?\s*$"
@@ -77,11 +78,12 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
         at("lines"): F.filter(F.split(t, "\n"), lambda x: x.rlike(r"\S")),
         at("words"): F.filter(F.split(t, r"\s+"), lambda x: x != ""),
         at("low"): F.lower(t),
-        at("visible"): _kept(t, r"\s+"),
         at("letters"): _kept(t, r"\P{L}+"),
         at("bare_letters"): F.when(marked, _kept(t, r"<[^<>]{0,200}>|&(?:[a-z]{2,8}|#\d+);?|(\S)\1{9,}|\P{L}")),
     })
 
+    out = out.withColumn(at("visible"), F.length(F.array_join(words, "")))
+
     def line(x: Column) -> Column:
         n = F.regexp_count(x, F.lit(r"\S+"))
         return F.struct(
@@ -122,7 +124,8 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
         "ellipsis_share": _share(size(lambda x: x["x"].rlike(r"(?:…|\.\.\.)\s*$")), n_lines),
         "lettered_share": _share(n_words - F.regexp_count(t, F.lit(r"(?<!\S)[!-@\[-`{-~«»—–…№]+(?!\S)")), n_words),
         "tag_share": F.when(F.contains(t, F.lit("#")), _share(F.regexp_count(t, F.lit(r"(?<!\S)#\p{L}")), n_words)).otherwise(0.0),
-        "hex_share": _share(F.regexp_count(t, F.lit(r"(?<!\S)[0-9A-Fa-f]{2}(?!\S)")), n_words),
+        # Two-figure words can only prevail where words have about two characters.
+        "hex_share": F.when(visible <= 4 * n_words, _share(F.regexp_count(t, F.lit(r"(?<!\S)[0-9A-Fa-f]{2}(?!\S)")), n_words)).otherwise(0.0),
         "distinct_share": _share(F.size(F.array_distinct(words)), n_words),
         "distinct_line_share": _share(F.size(F.array_distinct(lines)), n_lines),
         "common_share": _share(F.size(F.filter(F.split(low, r"[^\p{L}]+"), lambda x: x.isin(*sorted(set(COMMON_WORDS))))), n_words),

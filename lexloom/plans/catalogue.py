@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import clean, dialogue, filters, language, logits, metrics, sizing, suites
 from lexloom.functions.patterns import CARD, CONTROL, EMAIL, PHONE, PIECE, SPACE_VARIANTS, URL, WS
 from lexloom.operators import budget, corpus, dedup, shards
-from lexloom.session import materialize, read_table, shared_dir, spread
+from lexloom.session import materialize, read_table, spread, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -446,7 +446,7 @@ def top_p_positions(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream_input(spark: SparkSession, d: str) -> DataFrame:
     """The shards table as a stream over a folder of the shared directory."""
-    path = f"{shared_dir(spark)}/lexloom/stream-{abs(hash(d))}"
+    path = f"{work_dir(spark)}/stream-{abs(hash(d))}"
     rows = read_table(spark, d, "shards").select("dialogue_id", "text", "signature", F.col("created_at").cast("timestamp").alias("created_at")).dropDuplicates(["dialogue_id"])
     rows.write.mode("overwrite").parquet(f"{path}/in")
     return spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
@@ -458,7 +458,7 @@ def _run_stream(df: DataFrame) -> DataFrame:
     from lexloom.streaming.dialogues import write_batches
 
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom/stream-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     write_batches(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
@@ -499,7 +499,7 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
     from lexloom.sources.readers import parse_jsonl
 
-    path = f"{shared_dir(spark)}/lexloom/jsonl-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/jsonl-{uuid.uuid4().hex}"
     rows = read_table(spark, d, "documents").where("text is not null")
     rows.select(F.to_json(F.struct(F.concat(F.col("doc_id"), F.lit(" "), F.col("text")).alias("text"))).alias("value")).write.option("compression", "none").text(path)
     back = spark.read.text(path).select(parse_jsonl(F.col("value")).alias("text")).where("text is not null")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -53,17 +55,30 @@ def shared_dir(spark: SparkSession) -> str:
         base = getattr(spark, "_lexloom_shared", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="lexloom-shared")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
             spark._lexloom_shared = base
     return base
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/lexloom/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; DataFrames that still read them must have been used by then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return a scan of it.
 
     Cuts the lineage: a lost executor costs only the tasks that ran on it. Unlike a cached or local checkpoint the
     files survive every executor, and later readers prune columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -183,7 +183,7 @@ def terminal_counts(texts: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame]:
     for t in texts[1:]:
         both = both.unionByName(t)
     tokens = both.where("t is not null").select(F.regexp_extract_all(F.lower("t"), F.lit(f"({_TOKEN})"), 1).alias("w"))
-    stop = lambda x: x.rlike(r"^[.!?…]")
+    stop = lambda x: F.left(x, F.lit(1)).isin(".", "!", "?", "…")
     # The last token of a text without a stop has no successor: whether it ends a sentence is what is asked, so it isn't counted.
     triples = tokens.where(F.size("w") >= 2).select(
         F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.when(i > 1, F.get("w", i - 2)).alias("w0"), F.get("w", i - 1).alias("w1"), stop(F.get("w", i)).alias("end")))).alias("x")
@@ -217,10 +217,13 @@ def pair_defects(df: DataFrame, id_col: str = "sample_id", prompt_col: str = "pr
     uni = F.coalesce(F.col("we") / F.col("wn"), F.lit(0.0))
     rate = (F.coalesce("qe", F.lit(0)) + F.lit(BACKOFF) * uni) / (F.coalesce("qn", F.lit(0)) + F.lit(BACKOFF))
     stopped = F.col("body").rlike(r"(?:[.!?…]['\"»”’)\]*]*|[)\]»”]|[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}\x{FE0F}]|[:;]-?[)D(P])$")
-    opened = lambda a, b: F.length(F.regexp_replace("body", f"[^{a}]", "")) > F.length(F.regexp_replace("body", f"[^{b}]", ""))
-    unclosed = opened(r"\(", r"\)") & ~F.col("body").rlike(r"[:;]-?\($") | opened("«", "»") | opened(r"\[", r"\]") | opened(r"\{", r"\}") | opened("“„", "”“") & opened("„", "“") | (F.length(F.regexp_replace("body", '[^"]', "")) % 2 == 1)
+    count = lambda c: F.length("body") - F.length(F.replace("body", F.lit(c), F.lit("")))
+    brackets = (count("(") > count(")")) & ~F.col("body").rlike(r"[:;]-?\($")
+    unclosed = brackets | (count("«") > count("»")) | (count("[") > count("]")) | (count("{") > count("}")) | (count("„") > count("“") + count("”")) | (count('"') % 2 == 1)
     dangling = F.col("body").rlike(r"[,:;(\[{«„—–-]['\"]*$") & ~stopped
     truncated = unclosed | dangling | ~stopped & (F.col("n_tokens") > 3) & (rate < END_RATE)
+    known = known.withColumn("_broken_off", truncated)
+    truncated = F.col("_broken_off")
     copy = F.col("s.copy") & (~truncated | (F.col("s.copy_ratio") <= SURE_COPY_RATIO))
     defect = F.when(F.col("s.empty"), "empty").when(copy, "copy").when(F.col("s.refusal"), "refusal").when(F.col("s.other_language"), "other_language").when(truncated, "truncated")
     return known.select("id", defect.alias("defect"), F.col("s.copy_ratio").alias("copy_ratio"), F.when(~stopped, rate).alias("end_rate"))

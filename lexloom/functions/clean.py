@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.patterns import CONTROL, EMAIL, PIECE, SPACE_VARIANTS, URL, WS
+from lexloom.functions.patterns import CONTROL, EMAIL, PIECE, SPACE_VARIANTS, URL, WS, WS_CHARS
 
 
 def _c(x: Column | str) -> Column:
@@ -38,7 +38,7 @@ def strip_control_chars(text: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(_c(text), rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(_c(text), F.lit(WS_CHARS))
 
 
 def collapse_whitespace(text: Column | str) -> Column:

@@ -45,12 +45,17 @@ def check_format(text: Column | str) -> Column:
     return (F.size(roles) > 0) & F.coalesce(F.forall(F.transform(roles, lambda r, i: r == i % 2), lambda ok: ok), F.lit(False))
 
 
-def check_min_turns(text: Column | str, least: int = 2) -> Column:
-    return F.size(split_turns(text)) >= least
+def _turns(text: Column | str | None, turns: Column | str | None) -> Column:
+    return split_turns(text) if turns is None else _c(turns)
 
 
-def check_no_empty(text: Column | str) -> Column:
-    return F.forall(split_turns(text), lambda x: x != "")
+def check_min_turns(text: Column | str | None, least: int = 2, turns: Column | str | None = None) -> Column:
+    """The checks of turns take them ready-made too, so that several checks split a text once."""
+    return F.size(_turns(text, turns)) >= least
+
+
+def check_no_empty(text: Column | str | None, turns: Column | str | None = None) -> Column:
+    return F.forall(_turns(text, turns), lambda x: x != "")
 
 
 def check_no_broken_roles(text: Column | str) -> Column:
@@ -65,7 +70,7 @@ def _top_of_sorted(items: Column) -> Column:
         cur = F.when(a["prev"].eqNullSafe(x), a["cur"] + 1).otherwise(1)
         return F.struct(x.alias("prev"), cur.alias("cur"), F.greatest(a["best"], cur).alias("best"))
 
-    return F.aggregate(F.array_sort(items), zero, step, lambda a: a["best"])
+    return F.aggregate(F.sort_array(items), zero, step, lambda a: a["best"])
 
 
 def ngrams(items: Column, n: int) -> Column:
@@ -74,7 +79,7 @@ def ngrams(items: Column, n: int) -> Column:
     return let(items, lambda x: F.when(F.size(x) >= n, runs(x)).otherwise(F.array().cast("array<string>")))
 
 
-def check_repetition(text: Column | str, share: float = 0.5, n: int = 4) -> Column:
+def check_repetition(text: Column | str | None, share: float = 0.5, n: int = 4, turns: Column | str | None = None) -> Column:
     """No turn is said by more than half of the turns (and more than twice), no 4-gram makes up more than a quarter of over 20 words."""
 
     def judge(turns: Column) -> Column:
@@ -82,26 +87,32 @@ def check_repetition(text: Column | str, share: float = 0.5, n: int = 4) -> Colu
         varied = let(words(F.lower(F.array_join(turns, " "))), lambda w: (F.size(w) <= 20) | (_top_of_sorted(ngrams(w, n)) / F.size(w) <= 0.25))
         return F.when(F.size(turns) == 0, False).otherwise(calm & varied)
 
-    return let(split_turns(text), judge)
+    return let(_turns(text, turns), judge)
 
 
 def check_unicode(text: Column | str) -> Column:
     return ~F.contains(_c(text), F.lit("�"))
 
 
-def check_message_len(text: Column | str, most: int = 300) -> Column:
-    return F.forall(split_turns(text), lambda x: F.length(x) <= most)
+def check_message_len(text: Column | str | None, most: int = 300, turns: Column | str | None = None) -> Column:
+    return F.forall(_turns(text, turns), lambda x: F.length(x) <= most)
 
 
 def quality_report(text: Column | str) -> Column:
     """The checks as a struct of booleans."""
     t = F.coalesce(_c(text), F.lit(""))
-    return F.struct(
-        check_format(t).alias("format"), check_min_turns(t).alias("min_turns"), check_no_empty(t).alias("no_empty"),
-        check_no_broken_roles(t).alias("no_broken_roles"), check_repetition(t).alias("repetition"), check_unicode(t).alias("unicode"),
+    checks = lambda p: F.struct(
+        check_format(p["t"]).alias("format"), check_min_turns(None, turns=p["s"]).alias("min_turns"), check_no_empty(None, turns=p["s"]).alias("no_empty"),
+        check_no_broken_roles(p["t"]).alias("no_broken_roles"), check_repetition(None, turns=p["s"]).alias("repetition"), check_unicode(p["t"]).alias("unicode"),
     )
+    return let(F.struct(t.alias("t"), split_turns(t).alias("s")), checks)
 
 
 def check_dialogue(text: Column | str, min_turns: int = 2, max_chars: int = 300) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
-    return check_format(t) & check_min_turns(t, min_turns) & check_no_empty(t) & check_no_broken_roles(t) & check_repetition(t) & check_unicode(t) & check_message_len(t, max_chars)
+
+    def all_checks(p: Column) -> Column:
+        text, turns = p["t"], p["s"]
+        return check_format(text) & check_min_turns(None, min_turns, turns) & check_no_empty(None, turns) & check_no_broken_roles(text) & check_repetition(None, turns=turns) & check_unicode(text) & check_message_len(None, max_chars, turns)
+
+    return let(F.struct(t.alias("t"), split_turns(t).alias("s")), all_checks)

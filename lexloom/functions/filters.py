@@ -64,7 +64,7 @@ def top_char_share(text: Column | str) -> Column:
         return F.struct(c.alias("prev"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
     t = _c(text)
-    return F.when(F.length(t) > 0, F.aggregate(F.array_sort(F.filter(F.split(t, ""), lambda c: c != "")), zero, step, lambda a: a["best"]) / F.length(t))
+    return F.when(F.length(t) > 0, F.aggregate(F.sort_array(F.filter(F.split(t, ""), lambda c: c != "")), zero, step, lambda a: a["best"]) / F.length(t))
 
 
 def filter_repetition(text: Column | str, most: float = 0.3) -> Column:
@@ -75,7 +75,11 @@ def reject_reason(text: Column | str, langs: list[str] | None = None, min_length
     """The first filter that fails, in the order language, length, word count, word length, unique words, personal data, spam, repetition; else null.
 
     The cheap tests come first and later ones are evaluated only for what passed them."""
-    t = F.coalesce(_c(text), F.lit(""))
+    # Bound once: a filter is pushed below the projection that makes its text, which would be computed anew for each mention.
+    return let(F.coalesce(_c(text), F.lit("")), lambda t: _first_failure(t, langs, min_length))
+
+
+def _first_failure(t: Column, langs: list[str] | None, min_length: int) -> Column:
     tests = [("length", filter_length(t, min_length)), ("word_count", filter_word_count(t)), ("word_length", filter_word_char_ratio(t)), ("unique_words", filter_unique_words(t)), ("pii", filter_pii(t)), ("spam", filter_spam(t)), ("repetition", filter_repetition(t))]
     if langs is not None:
         tests.insert(0, ("language", detect_language(t).isin(*langs)))

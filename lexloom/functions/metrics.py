@@ -19,7 +19,7 @@ def repetition_ratio(tokens: Column | str, n: int = 4) -> Column:
         run = F.when(a["prev"].eqNullSafe(x), a["run"] + 1).otherwise(1)
         return F.struct(x.alias("prev"), run.alias("run"), (a["again"] + F.when(run == 2, 1).otherwise(0)).alias("again"))
 
-    share = lambda g: F.when(F.size(g) > 0, F.aggregate(F.array_sort(g), zero, step, lambda a: a["again"]) / F.size(g)).otherwise(0.0)
+    share = lambda g: F.when(F.size(g) > 0, F.aggregate(F.sort_array(g), zero, step, lambda a: a["again"]) / F.size(g)).otherwise(0.0)
     return let(ngrams(F.transform(_c(tokens), lambda x: x.cast("string")), n), share)
 
 

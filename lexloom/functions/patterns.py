@@ -5,6 +5,8 @@ WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 # Kinds of spaces that become one plain space, and characters that are deleted.
 SPACE_VARIANTS = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 CONTROL = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200f}\x{feff}]"
+#: The same white space as characters.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"\p{L}\p{N}_"
 URL = rf"(?i)https?://[^{WS}]+"
 EMAIL = rf"[{WORD}.+-]+@[{WORD}-]+\.[{WORD}.-]+"

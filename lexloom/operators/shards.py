@@ -17,7 +17,8 @@ def pick_dtype(vocab_size: Column | int) -> Column:
 def byte_tokens(text: Column | str) -> Column:
     """Ids 0-255 of the UTF-8 bytes: the tokenizer without merges, JVM-side."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.regexp_extract_all(F.hex(F.encode(t, "utf-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    # Read as Latin-1, each byte is one character whose code is its value.
+    return F.transform(F.filter(F.split(F.decode(F.encode(t, "utf-8"), "ISO-8859-1"), ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
 def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", ids_col: str = "ids", add_eos: bool = True) -> DataFrame:

@@ -115,8 +115,9 @@ def _turns(x: str) -> str:
 def corpus_flow(spark: SparkSession, d: str) -> DataFrame:
     """Clean, filter, deduplicate and count by language."""
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", clean.clean_text("text").alias("t"))
-    kept = materialize(docs.where(filters.filter_document("t")), "kept")
-    once = dedup.exact_dedup(kept, "t", "doc_id").select(language.detect_language("t").alias("lang"), F.length("t").cast("long").alias("n"))
+    # The reason is a column of the written table and not a filter on it: it is computed once, where the text is at hand, and what reads the table skips on it.
+    checked = materialize(docs.withColumn("reason", filters.reject_reason("t")), "checked")
+    once = dedup.exact_dedup(checked.where("reason is null").select("doc_id", "t"), "t", "doc_id").select(language.detect_language("t").alias("lang"), F.length("t").cast("long").alias("n"))
     return once.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("chars"), (F.sum("n").cast("double") / F.count(F.lit(1))).alias("mean_chars"))
 
 
@@ -253,10 +254,10 @@ _ROLE_OK = f"len({_LINES}) > 0 AND len(list_filter(list_transform({_LINES}, lamb
 
 @query(f"SELECT dialogue_id, written_at, {_ROLE_OK} AS format, len({_turns('text')}) >= 2 AS min_turns, len(list_filter({_turns('text')}, lambda t: t = '')) = 0 AS no_empty, contains(text, 'USER:') AND contains(text, 'ASSISTANT:') AS no_broken_roles, NOT contains(text, chr(65533)) AS unicode, len(list_filter({_turns('text')}, lambda t: length(t) > 300)) = 0 AS message_len FROM shards WHERE text IS NOT NULL")
 def dialogue_checks(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "shards").where("text is not null")
+    rows = read_table(spark, d, "shards").where("text is not null").withColumn("t", dialogue.split_turns("text"))
     return rows.select(
-        "dialogue_id", "written_at", dialogue.check_format("text").alias("format"), dialogue.check_min_turns("text").alias("min_turns"), dialogue.check_no_empty("text").alias("no_empty"),
-        dialogue.check_no_broken_roles("text").alias("no_broken_roles"), dialogue.check_unicode("text").alias("unicode"), dialogue.check_message_len("text").alias("message_len"),
+        "dialogue_id", "written_at", dialogue.check_format("text").alias("format"), dialogue.check_min_turns(None, turns="t").alias("min_turns"), dialogue.check_no_empty(None, turns="t").alias("no_empty"),
+        dialogue.check_no_broken_roles("text").alias("no_broken_roles"), dialogue.check_unicode("text").alias("unicode"), dialogue.check_message_len(None, turns="t").alias("message_len"),
     )
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -201,9 +202,10 @@ def training_words(rows: list[tuple[str, str]]) -> tuple[list[bytes], np.ndarray
     Word counts of all records give a first estimate; sentences whose words contradict their record's label are left out, twice. A list of
     function words per language is always part of the counts, so that few or no records still give a network."""
     data = []
+    surface = lru_cache(None)(_surface)  # the sample is bounded, and so are its words
     for lang, text in rows:
         for s in turns(text) if _TURN.match(text) else sentences(text):
-            words = [_surface(w) for w in words_of(s)]
+            words = [surface(w) for w in words_of(s)]
             if len(words) >= 2:
                 data.append((LANGS.index(lang), words))
     base: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGS)))

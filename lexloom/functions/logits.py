@@ -38,6 +38,12 @@ def count_penalties(logits: Column | str, history: Column | str, frequency: floa
     return F.transform(_c(logits), reduced)
 
 
+def argmax(logits: Column | str) -> Column:
+    """The first position (from 0) of the largest logit; null for none."""
+    x = _c(logits)
+    return F.when(F.size(x) > 0, F.array_position(x, F.array_max(x)) - 1)
+
+
 def top_k(logits: Column | str, k: int) -> Column:
     """Positions (from 0) of the k largest logits; all that tie with the last of them stay."""
     x = _c(logits)

@@ -140,13 +140,13 @@ def doc_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT raw_id, {_language('text')} AS detected, {_guess('text')} AS guessed FROM raw WHERE text IS NOT NULL")
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "raw").where("text is not null")
+    rows = spread(read_table(spark, d, "raw").select("raw_id", "text").where("text is not null"))
     return rows.select("raw_id", language.detect_language("text").alias("detected"), language.language_guess("text").alias("guessed"))
 
 
 @query(f"SELECT {_language('text')} AS lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def language_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "documents").where("text is not null")
+    rows = spread(read_table(spark, d, "documents").select("text").where("text is not null"))
     return rows.select(language.detect_language("text").alias("lang"), F.length("text").cast("long").alias("n_chars")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -166,7 +166,7 @@ _SOURCE = "lower(trim(source))"
 
 @query(f"SELECT {_SOURCE} AS source, count(*) AS n, count(*) FILTER (WHERE {_pii('text')}) AS with_pii, count(*) FILTER (WHERE regexp_matches(text, '{_q(PHONE)}')) AS with_phone FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def pii_by_source(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "documents").where("text is not null").select(F.lower(F.trim("source")).alias("source"), (~filters.filter_pii("text")).alias("p"), filters.has_phone("text").alias("t"))
+    rows = spread(read_table(spark, d, "documents").select("source", "text").where("text is not null")).select(F.lower(F.trim("source")).alias("source"), (~filters.filter_pii("text")).alias("p"), filters.has_phone("text").alias("t"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("p").alias("with_pii"), F.count_if("t").alias("with_phone"))
 
 
@@ -210,7 +210,7 @@ def leakage_free(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^{WS}]+')) AS word FROM documents) GROUP BY word")
 def word_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.word_frequency(read_table(spark, d, "documents").select("text"))
+    return corpus.word_frequency(spread(read_table(spark, d, "documents").select("text")))
 
 
 _BYTES = "list_transform(range(0, length(hex(encode({w}))) // 2), lambda i: ('0x' || substr(hex(encode({w})), 2 * i + 1, 2))::INTEGER)"
@@ -222,7 +222,7 @@ c AS (SELECT p.a AS a, p.b AS b, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2)"""
 
 @query(f"WITH {_PAIRS} SELECT a, b, n FROM c")
 def byte_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.pair_frequency(corpus.word_frequency(read_table(spark, d, "documents").select("text")), shards.byte_tokens("word"))
+    return corpus.pair_frequency(word_frequency(spark, d), shards.byte_tokens("word"))
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, n FROM c ORDER BY n DESC, a, b LIMIT 1")

@@ -151,13 +151,27 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def load_config(text: str, schema: dict[str, type]) -> dict:
-    """A flat ``key: value`` configuration: unknown keys are dropped, numbers in quotes become numbers."""
-    out = {}
+def load_config(text: str, schema: dict) -> dict:
+    """``section: / key: value`` configurations. ``schema`` maps keys to types, or sections to such maps; unknown keys are dropped, numbers in quotes
+    become numbers, a missing section is empty."""
+    out: dict = {k: {} for k, v in schema.items() if isinstance(v, dict)}
+    section: str | None = None
     for line in text.splitlines():
-        key, _, value = line.split("#", 1)[0].partition(":")
-        key, value = key.strip(), value.strip().strip("'\"")
-        if key in schema and value:
-            kind = schema[key]
-            out[key] = value.lower() in ("true", "yes", "1") if kind is bool else int(float(value)) if kind is int else kind(value)
+        bare = line.split("#", 1)[0].rstrip()
+        key, colon, value = bare.partition(":")
+        name, value = key.strip(), value.strip().strip("'\"")
+        if not colon or not name:
+            continue
+        if key[:1] not in (" ", "\t"):
+            section = name if not value else None
+        known, at = (schema.get(section), out.get(section)) if section and name != section else (schema, out)
+        kind = known.get(name) if isinstance(known, dict) else None
+        if value and isinstance(kind, type):
+            at[name] = value.lower() in ("true", "yes", "1") if kind is bool else int(float(value)) if kind is int else kind(value)
     return out
+
+
+def config_frame(spark: SparkSession, configs: dict[str, dict]) -> DataFrame:
+    """``name, section, key, value``: several configurations as one table."""
+    rows = [(name, s if isinstance(v, dict) else "", k, str(x)) for name, c in configs.items() for s, v in c.items() for k, x in (v.items() if isinstance(v, dict) else [(s, v)])]
+    return spark.createDataFrame(rows, "name string, section string, key string, value string")

@@ -27,6 +27,18 @@ _BOT = (("Расскажи подробнее про {x}.", "Понимаю, {x}
 DIALOGUE = "id long, text string, turns int, lang string, persona string, style string, bucket string, signature array<string>"
 
 
+def colloquial(text: str, rng: random.Random, formal: bool = False) -> str:
+    """As written in a chat: a small first letter or two letters swapped, now and then. Formal texts and texts in capitals stay."""
+    if formal or not text or text.isupper():
+        return text
+    if rng.random() < 0.4:
+        text = text[0].lower() + text[1:]
+    at = rng.randrange(len(text))
+    if rng.random() < 0.05 and at + 1 < len(text) and text[at].isalpha() and text[at + 1].isalpha():
+        text = text[:at] + text[at + 1] + text[at] + text[at + 2 :]
+    return text
+
+
 def make_dialogue(seed: int, number: int) -> tuple:
     rng = random.Random(f"{seed}:{number}")
     bucket, _, low, high = rng.choices(BUCKETS, [b[1] for b in BUCKETS])[0]
@@ -40,7 +52,8 @@ def make_dialogue(seed: int, number: int) -> tuple:
         bank = (_USER, _BOT)[i % 2][k]
         at = rng.choice([n for n in range(len(bank)) if (i % 2, k, n) not in recent[-2:]] or range(len(bank)))
         recent.append((i % 2, k, at))
-        lines.append(bank[at].format(x=rng.choice(TOPICS[topic][k])) + ("" if rng.random() < 0.7 else f" ({i + 1})"))
+        said = bank[at].format(x=rng.choice(TOPICS[topic][k])) + ("" if rng.random() < 0.7 else f" ({i + 1})")
+        lines.append(said if i % 2 else colloquial(said, rng))
         signature.append(f"{'ru' if not k else 'en'}.{'ua'[i % 2]}.{topic}.{at}")
     text = "\n\n".join(("USER: ", "ASSISTANT: ")[i % 2] + x for i, x in enumerate(lines))
     return number, text, turns, lang, rng.choice(PERSONAS), rng.choice(STYLES), bucket, signature

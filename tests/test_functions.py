@@ -97,6 +97,7 @@ def test_metrics(spark):
 def test_logits(spark):
     x = [1.0, 3.0, 2.0, 3.0]
     assert one(spark, logits.top_k("t", 1), t=x) == [1, 3]
+    assert one(spark, logits.argmax("t"), t=x) == 1
     assert one(spark, logits.top_p("t", 0.5), t=x) == [1, 3]
     assert one(spark, logits.min_p("t", 0.3), t=x) == [1, 2, 3]
     assert sum(one(spark, logits.softmax("t"), t=x)) == pytest.approx(1)

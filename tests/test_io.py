@@ -52,6 +52,9 @@ def test_messages_and_meta(spark, tmp_path):
     r = readers.scan_shard_meta(spark, str(tmp_path)).first()
     assert (r.last_shard, r.dialogues, r.tokens) == (1, 10, 200)
     assert readers.load_config("a: 1  # c\nb: '2.5'\nzzz: 1\nf: true", {"a": int, "b": float, "f": bool}) == {"a": 1, "b": 2.5, "f": True}
+    nested = readers.load_config("model:\n  size: '3e2'\n  other: 1\ntraining:\n  lr: 0.1\nseed: 7\n", {"model": {"size": int}, "training": {"lr": float}, "data": {"x": int}, "seed": int})
+    assert nested == {"model": {"size": 300}, "training": {"lr": 0.1}, "data": {}, "seed": 7}
+    assert readers.config_frame(spark, {"a": nested}).count() == 3
 
 
 def test_shard_files(spark, tmp_path):

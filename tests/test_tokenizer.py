@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.session import read_table
 from lexloom.sources import sinks
 from lexloom.tokenizer import chat
+from lexloom.tokenizer.sql import register
 from lexloom.tokenizer.codec import Codec, decode, encode, token_count
 from lexloom.tokenizer.vocab import BOS, EOS, PAD, SPECIAL_TO_ID, read_merges, token_name, vocab_document
 
@@ -75,6 +76,12 @@ def test_chat(spark):
     assert got == [(0, [1, 2], [1, 2]), (0, [1, 256], [1, -100]), (1, [3], [3])]
 
 
+def test_sql(spark):
+    assert len(register(spark, MERGES)) == 5
+    r = spark.sql("SELECT lex_encode('hello') a, lex_decode(array(271, 999)) b, lex_token_count('hello he') c, lex_encode_marked('he<EOS>') d, lex_token_name(268) e, lex_encode(NULL) f").first()
+    assert tuple(r) == ([271], "hello<UNK>", 3, [257, 268, 258, 258], "he", None)
+
+
 def test_files(spark, tmp_path):
     sinks.write_tokenizer(spark, str(tmp_path), MERGES)
     assert sinks.read_tokenizer(spark, str(tmp_path)) == MERGES

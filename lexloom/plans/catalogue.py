@@ -261,7 +261,20 @@ def dialogue_checks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+def _top(items: str) -> str:
+    return f"coalesce(list_max(map_values(list_aggregate({items}, 'histogram'))), 0)"
+
+
+_QUALITY = f"""WITH t AS (SELECT dialogue_id, coalesce(text, '') AS text FROM shards), u AS (SELECT *, {_turns('text')} AS s FROM t),
+v AS (SELECT *, {_words("lower(array_to_string(s, ' '))")} AS w FROM u),
+g AS (SELECT *, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), chr(1))) ELSE []::VARCHAR[] END AS g FROM v),
+q AS (SELECT dialogue_id, {_ROLE_OK} AS format, len(s) >= 2 AS min_turns, len(list_filter(s, lambda x: x = '')) = 0 AS no_empty, contains(text, 'USER:') AND contains(text, 'ASSISTANT:') AS no_broken_roles,
+CASE WHEN len(s) = 0 THEN false ELSE {_top('s')} <= greatest(2.0, 0.5 * len(s)) AND (len(w) <= 20 OR {_top('g')} / len(w) <= 0.25) END AS repetition,
+NOT contains(text, chr(65533)) AS unicode, len(list_filter(s, lambda x: length(x) > 300)) = 0 AS short FROM g)
+SELECT * EXCLUDE (short), format AND min_turns AND no_empty AND no_broken_roles AND repetition AND unicode AND short AS kept FROM q"""
+
+
+@query(_QUALITY)
 def dialogue_quality(spark: SparkSession, d: str) -> DataFrame:
     rows = spread(read_table(spark, d, "shards").select("dialogue_id", "text"))
     return rows.select("dialogue_id", dialogue.quality_report("text").alias("q"), dialogue.check_dialogue("text").alias("kept")).select("dialogue_id", "q.*", "kept")

@@ -14,6 +14,8 @@ _PIECES = re.compile(r"\s+|\S+")
 _SPECIAL = re.compile("|".join(re.escape(s) for s in sorted(SPECIALS, key=len, reverse=True)))
 #: Words remembered per Python worker. The cache is emptied when full, so memory is bounded and results don't change.
 CACHE_WORDS = 400_000
+#: Longer runs of characters (blobs) are encoded each time, so that the cache stays small in bytes too.
+CACHE_LENGTH = 256
 
 
 class Codec:
@@ -27,6 +29,8 @@ class Codec:
 
     def word(self, word: str) -> list[int]:
         """Lowest rank first, leftmost first, until no known pair is left."""
+        if len(word) > CACHE_LENGTH:
+            return self._merge(list(word.encode("utf-8", "replace")))
         ids = self.words.get(word)
         if ids is None:
             ids = self._merge(list(word.encode("utf-8", "replace")))
@@ -105,11 +109,14 @@ class Codec:
             return total - sum([saved[w] for w in words])
         except KeyError:
             for w in words:
-                if w not in saved:
+                less = saved.get(w)
+                if less is None:
+                    less = len(w.encode("utf-8", "replace")) - len(self.word(w))
                     if len(saved) >= CACHE_WORDS:
                         saved.clear()
-                    saved[w] = len(w.encode("utf-8", "replace")) - len(self.word(w))
-                total -= saved[w]
+                    if len(w) <= CACHE_LENGTH:
+                        saved[w] = less
+                total -= less
             return total
 
     def decode(self, ids, skip_special: bool = False) -> str:

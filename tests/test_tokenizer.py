@@ -41,6 +41,13 @@ def test_round_trip_and_count(text):
     assert c.count(text) == len(ids)
 
 
+def test_long_runs_are_not_kept():
+    c = Codec(MERGES)
+    blob = "hello" * 5000
+    assert c.count(f"hello {blob} he") == len(c.encode(f"hello {blob} he")) == 5003 + 1
+    assert max(map(len, c.words)) <= 256 and max(map(len, c.saved)) <= 256
+
+
 @given(st.lists(st.sampled_from([104, 101, 108, 111]), max_size=400))
 @settings(max_examples=60, deadline=None)
 def test_merging_follows_the_definition(ids):

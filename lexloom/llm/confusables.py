@@ -186,7 +186,8 @@ class Normalizer:
                 found = (forms[SCRIPTS[0]], vote, forms)
         if len(self.tokens) >= self.LIMIT:
             self.tokens.clear()
-        self.tokens[token] = found
+        if len(token) <= 256:  # blobs would fill the memory
+            self.tokens[token] = found
         return found
 
     @staticmethod

@@ -119,6 +119,7 @@ class Scorer:
     def __init__(self, net: ByteGRU) -> None:
         self.net = net
         self.at: dict[str, int] = {}
+        self.kept = 0  # characters of the words
         self.rows = np.zeros((1 << 12, len(LANGS)), np.float32)
 
     def indices(self, words: list[str]) -> np.ndarray:
@@ -128,9 +129,11 @@ class Scorer:
         except KeyError:
             pass
         new = list({w for w in words if w not in at})
-        if len(at) + len(new) > self.LIMIT:
+        if len(at) + len(new) > self.LIMIT or self.kept > self.LIMIT * 40:
             at.clear()
+            self.kept = 0
             new = list(set(words))
+        self.kept += sum(map(len, new))
         self._learn(new)
         return np.array([at[w] for w in words], np.int64)
 

@@ -69,9 +69,11 @@ _WORDS: dict[str, int] = {}
 def _word_hash(word: str) -> int:
     import xxhash
 
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
     if len(_WORDS) >= 1_000_000:
         _WORDS.clear()
-    h = _WORDS[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+    if len(word) <= 64:  # blobs would fill the memory
+        _WORDS[word] = h
     return h
 
 

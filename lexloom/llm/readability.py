@@ -55,7 +55,9 @@ def _syllables(word: str) -> int:
     if n is None:
         if len(_SYLLABLES) > 500_000:
             _SYLLABLES.clear()
-        n = _SYLLABLES[word] = syllables(word.lower())
+        n = syllables(word.lower())
+        if len(word) <= 64:  # blobs would fill the memory
+            _SYLLABLES[word] = n
     return n
 
 

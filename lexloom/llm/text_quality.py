@@ -90,7 +90,7 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
             x.alias("x"), n.alias("n"), x.rlike(_STOP).alias("stop"), x.rlike(_BULLET).alias("bullet"), x.rlike(r"^\s*[–—]\s").alias("dash"),
             F.when(n <= 9, x.rlike(_PRICE_LINE)).otherwise(False).alias("price"),
             F.when(n <= 12, x.rlike(_VALUE_LINE)).otherwise(False).alias("value"),
-            F.struct(*[F.when(n <= 60, _chars(x, c)).otherwise(0).alias(f"d{i}") for i, c in enumerate(_DELIMITERS)], F.when(n <= 60, F.regexp_count(F.trim(x), F.lit(r"\s{2,}"))).otherwise(0).alias("d4")).alias("d"),
+            F.struct(*[_chars(x, c).alias(f"d{i}") for i, c in enumerate(_DELIMITERS)], F.regexp_count(F.trim(x), F.lit(r"\s{2,}")).alias("d4")).alias("d"),
         )
 
     out = out.withColumn(at("ls"), F.transform(lines, line))
@@ -103,8 +103,10 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
     value = lambda x: x["value"] & ~x["x"].rlike(r"[.!?…]\s*$|(?i)^\s*(?:user|assistant)\s*:")
 
     def tabular(i: int, least: int) -> Column:
-        """Lines of the shape of a table: as many fields as the first or second line (at least ``least``), short, mostly with figures."""
-        width = F.greatest(F.get(ls, F.lit(0))["d"][f"d{i}"], F.get(ls, F.lit(1))["d"][f"d{i}"])
+        """Lines of the shape of a table: as many fields as the first or second line (at least ``least``), short, mostly with figures.
+        A paragraph of more than 60 words sets no width, unless it has the fields to be a row itself."""
+        fields = lambda x: F.when((x["n"] <= 60) | (x["n"] <= (x["d"][f"d{i}"] + 1) * 5), x["d"][f"d{i}"])
+        width = F.greatest(fields(F.get(ls, F.lit(0))), fields(F.get(ls, F.lit(1))))
         fits = F.filter(ls, lambda x: (x["d"][f"d{i}"] == width) & (x["n"] <= (width + 1) * 5))
         figures = F.size(F.filter(fits, lambda x: x["x"].rlike(_CELL)))
         return F.when((width + 1 >= least) & (F.size(fits) >= 2), F.when(figures * 2 >= F.size(fits), F.size(fits)).otherwise(0)).otherwise(0)

@@ -275,6 +275,15 @@ def test_kinds(spark):
     assert text_quality.text_stats(df.limit(0)).count() == 0
 
 
+def test_wide_tables(spark):
+    rows = [[100 + 90 * i + j for j in range(70)] for i in range(5)]
+    wide = ["\n".join("| " + " | ".join(map(str, r[:31])) + " |" for r in rows), *["\n".join(by.join(map(str, r)) for r in rows) for by in ("\t", "  ", "; ", ", ")]]
+    wide.append("Plain words of a long paragraph, " * 12 + "\n" + "\n".join(",".join(map(str, r[:3])) for r in rows))  # a paragraph before a table
+    df = spark.createDataFrame(list(enumerate(wide)), "raw_id long, text string")
+    got = {r.raw_id: r.quality for r in text_quality.text_stats(df).collect()}
+    assert [(got[i].table_lines, got[i].kind) for i in range(len(wide))] == [(5, "table")] * len(wide)
+
+
 # --- 7 packing -----------------------------------------------------------------------------------------------------
 
 

@@ -126,8 +126,7 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
         "ellipsis_share": _share(size(lambda x: x["x"].rlike(r"(?:…|\.\.\.)\s*$")), n_lines),
         "lettered_share": _share(n_words - F.regexp_count(t, F.lit(r"(?<!\S)[!-@\[-`{-~«»—–…№]+(?!\S)")), n_words),
         "tag_share": F.when(F.contains(t, F.lit("#")), _share(F.regexp_count(t, F.lit(r"(?<!\S)#\p{L}")), n_words)).otherwise(0.0),
-        # Two-figure words can only prevail where words have about two characters.
-        "hex_share": F.when(visible <= 4 * n_words, _share(F.regexp_count(t, F.lit(r"(?<!\S)[0-9A-Fa-f]{2}(?!\S)")), n_words)).otherwise(0.0),
+        "hex_share": _share(F.regexp_count(t, F.lit(r"(?<!\S)[0-9A-Fa-f]{2}(?!\S)")), n_words),
         "distinct_share": _share(F.size(F.array_distinct(words)), n_words),
         "distinct_line_share": _share(F.size(F.array_distinct(lines)), n_lines),
         "common_share": _share(F.size(F.filter(F.split(low, r"[^\p{L}]+"), lambda x: x.isin(*sorted(set(COMMON_WORDS))))), n_words),
@@ -142,8 +141,10 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
         "sentences": F.regexp_count(t, F.lit(r"[.!?…]+(?:\s|$)")) + 1,
     }
     out = out.withColumns({at(k): v for k, v in stats.items()})
-    # Unpronounceable words matter only where common words are rare; the share is 0 elsewhere.
-    stats["noise_share"] = F.when(q("common_share") < 0.1, _share(F.regexp_count(low, F.lit(_NOISE)), q("n_words"))).otherwise(0.0)
+    # The kind asks for unpronounceable words only where common words are rare: where the kind alone is wanted, the other texts are spared.
+    noise = _share(F.regexp_count(low, F.lit(_NOISE)), q("n_words"))
+    out = out.withColumn(at("rare_noise"), F.when(q("common_share") < 0.1, noise))
+    stats["noise_share"] = F.coalesce(q("rare_noise"), noise)
     out = out.withColumn(at("noise_share"), stats["noise_share"])
     empty = q("n_words") == 0
     rules = [
@@ -168,7 +169,8 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
     per_item = q("n_words") / q("inline_items")
     inline = ((q("inline_marks") >= 3) & (q("n_words") / q("inline_marks") <= 8) & (q("sentences") <= q("inline_marks") + 2)) | ((q("inline_items") >= 4) & (per_item <= 6) & (q("sentences") <= 2 + q("inline_items") / 4))
     listed = (q("n_lines") >= 2) & (q("list_words") * 2 > q("n_words")) | inline
-    noisy = (q("noise_share") > THRESHOLDS["noise_share"]) & (q("common_share") < 0.1) | (q("noise_share") > 0.1) & (q("common_share") < 0.03)
+    rare_noise = F.coalesce(q("rare_noise"), F.lit(0.0))
+    noisy = (rare_noise > THRESHOLDS["noise_share"]) | (rare_noise > 0.1) & (q("common_share") < 0.03)
     repeated = (q("distinct_share") < THRESHOLDS["distinct_share"]) & (q("n_words") >= 6) & (q("table_lines") < 3) | (q("distinct_line_share") <= 0.5) & (q("n_lines") >= 3) & (q("bullet_share") < 0.5) & ~table
     encoded = (q("mean_word_length") > 25) | (q("broken_share") > 0.05) | (q("mojibake_share") > 0.3) | (q("hex_share") > 0.6)
     unlettered = (q("bare_letter_share") < 0.4) & ~table & ~listed | (q("bare_letter_share") < 0.2) & ~table

@@ -284,6 +284,15 @@ def test_wide_tables(spark):
     assert [(got[i].table_lines, got[i].kind) for i in range(len(wide))] == [(5, "table")] * len(wide)
 
 
+def test_noise_and_hex_shares_of_every_text(spark):
+    half = "the cat sat on the mat and it was good" + " bcdfgh бвгджз" * 5
+    dump = "0000000000001a40 CF B1 E9 D1 03 90 B8 03 |abcdefgh|"
+    rows = spark.createDataFrame([(1, half), (2, dump)], "raw_id long, text string")
+    got = {r.raw_id: r.quality for r in text_quality.text_stats(rows).collect()}
+    assert got[1].common_share >= 0.1 and got[1].noise_share > 0.25 and "unpronounceable" in got[1].reasons
+    assert got[2].mean_word_length > 4 and got[2].hex_share == pytest.approx(0.8) and "hex_dump" in got[2].reasons and got[2].kind == "junk"
+
+
 # --- 7 packing -----------------------------------------------------------------------------------------------------
 
 

@@ -7,8 +7,8 @@
    each of 64 registers).
 3. Classes that share a key become candidates if the collision-corrected Jaccard estimate from their sketches is high enough; the error
    of that estimate is allowed for with a wide margin. All of this is JVM-side and moves numbers only.
-4. The texts of the candidates alone are fetched, their full registers give a second, sharper corrected estimate, and what passes is
-   verified exactly on the sets of shingles.
+4. The texts of the candidates alone are fetched and every candidate is verified exactly on the sets of shingles. The one estimate is that
+   of step 3, from 1 bit of 64 registers; the full registers serve for the bands only.
 
 Documents with the same sequence of words form a class; one representative per class takes part, so copies cost nothing and no pairs
 of copies arise. Keys that many different classes share are split by further band keys instead of being paired at once.

@@ -65,28 +65,53 @@ def test_near_duplicates(spark, dialogues, words, similarity):
 
 
 def test_near_duplicates_star_blocks_and_empty(spark):
-    rows = [(i, "one two three four five six") for i in range(1, 30)] + [(100 + i, f"one two three four five six {i}") for i in range(20)]
+    rows = [(i, "one two three four five six") for i in range(1, 30)] + [(i, f"ONE two three four, five six{'!' * i}") for i in range(30, 45)] + [(100 + i, f"one two three four five six {i}") for i in range(20)]
     df = spark.createDataFrame(rows, "id long, text string")
-    p = near_dup.Params(words=2, similarity=0.6, star=10, block=3)
-    got = {(r.id_a, r.id_b) for r in near_dup.near_duplicates(df, "id", "text", p).pairs().collect()}
-    assert {(1, i) for i in range(2, 30)} <= got and (2, 3) not in got
+    p = near_dup.Params(words=2, similarity=0.6, star=20, block=3)
+    found = near_dup.near_duplicates(df, "id", "text", p)
+    got = {(r.id_a, r.id_b) for r in found.pairs().collect()}
+    assert {(1, i) for i in range(2, 30)} <= got and (2, 3) not in got  # byte-identical texts are a star
+    assert {(r.id, r.stands_for) for r in found.copies().collect()} == {(i, 1) for i in range(2, 30)}
+    assert {(a, b) for a, b in itertools.combinations([1, *range(30, 45)], 2)} <= got  # different texts of one class are all paired
     assert {(a, b) for a, b in itertools.combinations(range(100, 120), 2)} <= got  # small blocks lose nothing
-    assert {(1, i) for i in range(100, 120)} <= got
+    assert {(i, j) for i in (1, *range(30, 45)) for j in range(100, 120)} <= got
     empty = near_dup.near_duplicates(df.limit(0), "id", "text", p)
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black brown")
+    rows = [(1, a), (1, b), (2, b + " eight"), (3, a + " eta"), (4, c), (4, c + " grey")]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", near_dup.Params(words=2, similarity=0.6))
+    assert sorted((r.id_a, r.id_b) for r in found.pairs().collect()) == [(1, 2), (1, 3)]  # no link lost, doubled or with itself
+    assert {r.id: r.group_id for r in found.groups().collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     p = near_dup.Params()
     pool = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
     a, b = np.sort(pool[:800]), np.sort(pool[200:])
     s = near_dup.signatures([a, b, a[:3]], p)
-    assert abs((s[0] == s[1]).mean() - 0.6) < 0.12
-    assert s.shape == (3, p.layers * p.buckets) and near_dup.band_keys(s, p).shape == (3, p.bands)
+    size = np.array([800.0])
+    assert abs(near_dup.estimate(s[:1], s[1:2], size, size, p)[0] - 0.6) < 0.12
+    assert near_dup.estimate_floor(size, size, p)[0] < 0.8 and s.shape == (3, p.layers * p.buckets)
     assert list(near_dup._leading_zeros(np.array([1, 1 << 63, 1 << 32, 255], np.uint64))) == [63, 0, 31, 56]
 
 
+def test_collisions_of_unrelated_registers():
+    """With few mantissa bits unrelated registers often agree; the correction takes that out."""
+    rng = np.random.default_rng(3)
+    p = near_dup.Params(mantissa=2)
+    for n, m in ((400, 400), (2000, 300)):
+        sets = [rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, m) * 60]
+        s = near_dup.signatures(sets, p)
+        na, nb = np.full(60, float(n)), np.full(60, float(m))
+        agree = (s[::2] == s[1::2]).mean()
+        assert agree > 0.01 and near_dup.collision_rate(na, nb, p)[0] == pytest.approx(agree, rel=0.15)
+        assert abs(((s[::2] == s[1::2]).mean(1) - near_dup.collision_rate(na, nb, p)).mean()) < 0.02
+
+
 # --- 2 token budget ------------------------------------------------------------------------------------------------
 
 

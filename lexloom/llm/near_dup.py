@@ -4,8 +4,8 @@
    register is the HyperMinHash one: the leading-zero count of the smallest hash in it and a few mantissa bits after it. Empty
    buckets borrow from filled ones of their layer (densification), so that short documents work too. The registers are written once,
    beside hashes of the document: no later step reads all texts again.
-2. Bands of registers are hashed to keys. One grouped minimum, maximum and count per key, aggregated before the shuffle, gives the pair of a key
-   that two classes share; only the few keys that more share are joined back with their rows.
+2. Bands of registers are hashed to keys, which are shuffled once. Keys so frequent that they would be a hot spot are known from a bounded sample
+   before and counted with partial aggregation instead; the sample decides where rows go, never whether they do.
 3. A candidate's Jaccard similarity is estimated from the share of registers that agree, less what registers of unrelated sets of these sizes
    agree by chance (the HyperMinHash collision term). Candidates below the threshold by more than the estimate's error are dropped.
 4. The texts of the candidates left are fetched by id and verified exactly on the sets of shingles.
@@ -17,11 +17,11 @@ A key of very many classes is cut into a grid of block pairs spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.session import materialize, spread
@@ -38,11 +38,17 @@ class Params:
     layers: int = 6
     buckets: int = 32
     rows: int = 4
-    mantissa: int = 10
+    #: Bits of a register's mantissa; the other bits of its byte count leading zeros.
+    mantissa: int = 3
     #: Standard errors by which the estimate from the registers may fall short of ``similarity``.
     margin: float = 5.0
     #: Rows of one key that are compared within one task; larger keys are cut into blocks of this size.
     block: int = 2000
+    #: Documents sampled to find band keys that at least ``hot_share`` of all documents have (at most ``bands / hot_share`` keys).
+    hot_sample: int = 10_000
+    hot_share: float = 0.002
+    #: Keys of candidates up to this number are broadcast to fetch their rows; more are joined by a shuffle.
+    broadcast_keys: int = 1_000_000
     #: Byte-identical texts under more ids than this are given as a star around the smallest id instead of all pairs of ids.
     star: int = 1000
 
@@ -50,6 +56,11 @@ class Params:
     def bands(self) -> int:
         return self.layers * self.buckets // self.rows
 
+    @property
+    def octaves(self) -> int:
+        """Counts of leading zeros a register tells apart."""
+        return 1 << (8 - self.mantissa)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
@@ -95,13 +106,13 @@ def _leading_zeros(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], p: Params) -> np.ndarray:
-    """HyperMinHash registers, a row of uint16 per set: 6 bits of leading zeros before ``mantissa`` bits. No set may be empty.
+    """HyperMinHash registers, a row of bytes per set: the leading zeros before ``mantissa`` bits. No set may be empty.
 
     Registers of different layers alternate, so that a band mixes layers."""
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)) * p.buckets, [len(s) for s in sets])
     bits, none = p.buckets.bit_length() - 1, _U(0xFFFFFFFFFFFFFFFF)
-    out = np.empty((len(sets), p.buckets, p.layers), np.uint16)
+    out = np.empty((len(sets), p.buckets, p.layers), np.uint8)
     for layer in range(p.layers):
         h = _mix(flat + _U((0x9E3779B97F4A7C15 * (layer + 1)) & 0xFFFFFFFFFFFFFFFF))
         low = np.full(len(sets) * p.buckets, none, _U)
@@ -117,15 +128,14 @@ def signatures(sets: list[np.ndarray], p: Params) -> np.ndarray:
             ok = filled[r, donor]
             low[r[ok], b[ok]] = low[r[ok], donor[ok]]
             todo[r[ok], b[ok]] = False
-        lead = np.minimum(_leading_zeros(low), 62 - p.mantissa).astype(_U)
+        lead = np.minimum(_leading_zeros(low), p.octaves - 1).astype(_U)
         out[:, :, layer] = (lead << _U(p.mantissa)) | ((low << (lead + _U(1))) >> _U(64 - p.mantissa))
     return out.reshape(len(sets), -1)
 
 
 def band_keys(registers: Column, p: Params) -> Column:
     """An array of one 64-bit key per band from the bytes of the registers."""
-    width = 2 * p.rows
-    return F.array(*[F.xxhash64(F.lit(k), F.substring(registers, k * width + 1, width)) for k in range(p.bands)])
+    return F.array(*[F.xxhash64(F.lit(k), F.substring(registers, k * p.rows + 1, p.rows)) for k in range(p.bands)])
 
 
 def collision_rate(n_a: np.ndarray, n_b: np.ndarray, p: Params) -> np.ndarray:
@@ -136,7 +146,7 @@ def collision_rate(n_a: np.ndarray, n_b: np.ndarray, p: Params) -> np.ndarray:
     a, b = np.maximum(n_a / p.buckets, 1.0), np.maximum(n_b / p.buckets, 1.0)
     both = a + b
     out = np.zeros(len(both))
-    for lead in range(62 - p.mantissa):
+    for lead in range(p.octaves):
         high = 2.0**-lead
         out += high / 2 * 2.0**-p.mantissa * a * b / both * (np.exp(-both * high / 2) - np.exp(-both * high))
     return out
@@ -253,32 +263,52 @@ def _sign(rows: DataFrame, p: Params) -> DataFrame:
 SEEN = 1_000_000
 
 
+def _few(keys: DataFrame, p: Params) -> DataFrame:
+    """Written keys, marked for a broadcast if there are few of them."""
+    return F.broadcast(keys) if keys.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys else keys
+
+
+def _hot_keys(signed: DataFrame, keys_of: Callable[[DataFrame], DataFrame], p: Params) -> DataFrame:
+    """``key`` of the bands that very many documents share, from a bounded sample."""
+    n = signed.count()
+    sample = signed.sample(min(1.0, p.hot_sample / max(n, 1)), seed=1) if n > p.hot_sample else signed
+    least = max(8, int(p.hot_share * min(n, p.hot_sample)))
+    return materialize(keys_of(sample).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("key"), "hot_keys")
+
+
 def _candidates(signed: DataFrame, p: Params) -> DataFrame:
     """``a, b`` (addresses, a < b): classes that share a band key."""
-    keys = signed.where("registers is not null").select("h1", F.explode(band_keys(F.col("registers"), p)).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count(F.lit(1)).alias("_c")).where("a <> b")
+    keys_of = lambda df: df.select("h1", F.explode(band_keys(F.col("registers"), p)).alias("key"))
+    signed = signed.where("registers is not null").select("h1", "registers")
+    keys, hot = keys_of(signed), _hot_keys(signed, keys_of, p)
+    some = hot.limit(1).count() > 0
+    w = Window.partitionBy("key")
+    cold = keys.join(F.broadcast(hot), "key", "left_anti") if some else keys  # at most bands / hot_share keys
+    cold = cold.select("key", "h1", F.count(F.lit(1)).over(w).alias("_c"), F.min("h1").over(w).alias("_lo"), F.max("h1").over(w).alias("_hi")).where("_c > 1 and _lo <> _hi")
+    blocks = F.ceil(F.col("_c") / p.block).cast("int").alias("blocks")
+    shared = cold.select("key", "h1", blocks)
+    if some:
+        rows = keys.join(F.broadcast(hot), "key", "left_semi").distinct()
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+        shared = shared.unionByName(rows.join(F.broadcast(counts), "key").select("key", "h1", blocks))  # no more keys than hot ones
     shared = materialize(shared, "shared_keys")
-    two = shared.where("_c = 2").select("a", "b")
-    many = shared.where("_c > 2").select("key", F.ceil(F.col("_c") / p.block).cast("int").alias("blocks"))
     # A key with more rows than a block is a grid of block pairs: two rows of different blocks meet in one cell, of one block on its diagonal.
     own = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
     cells = (
-        keys.join(many, "key")
-        .distinct()
-        .withColumn("_x", own)
+        shared.withColumn("_x", own)
         .withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "h1", "_x", F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"))
     )
     x, y = cells.alias("x"), cells.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j")) & (F.col("x.h1") < F.col("y.h1"))
     once = (F.col("x._x") != F.col("y._x")) | (F.col("x._i") == F.col("x._j"))
-    return two.unionByName(x.join(y, meet & once).select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b"))).distinct()
+    return x.join(y, meet & once).select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct()
 
 
 def _likely(candidates: DataFrame, signed: DataFrame, p: Params) -> DataFrame:
     """The candidates whose estimated similarity does not rule them out."""
-    wanted = candidates.select(F.col("a").alias("h1")).unionByName(candidates.select(F.col("b").alias("h1"))).distinct()
-    known = signed.where("registers is not null").select("h1", "n", "registers").join(wanted, "h1", "left_semi").dropDuplicates(["h1"])
+    wanted = materialize(candidates.select(F.col("a").alias("h1")).unionByName(candidates.select(F.col("b").alias("h1"))).distinct(), "candidate_keys")
+    known = signed.where("registers is not null").select("h1", "n", "registers").join(_few(wanted, p), "h1", "left_semi").dropDuplicates(["h1"])
     known = materialize(known, "candidate_registers")
     side = lambda c: known.select(F.col("h1").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
 
@@ -289,7 +319,7 @@ def _likely(candidates: DataFrame, signed: DataFrame, p: Params) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 4))
-            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (3, 5))
+            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 5))
             ok = estimate(sa, sb, na, nb, p) >= estimate_floor(na, nb, p)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
@@ -323,7 +353,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, params: Params =
         named.select(F.col("no_b").alias("no"), F.col("id_b").alias("id"), F.col("b").alias("h1"), F.col("h2_b").alias("h2"))
     )
     # The ids meet the rows before these are normalized: only the candidates' texts are, and an id with several texts gives the one that is meant.
-    texts = source.join(wanted.distinct(), "id").select("no", "h1", "h2", normal_words(F.col("text")).alias("norm"))
+    texts = source.join(_few(materialize(wanted.distinct(), "candidate_ids"), p), "id").select("no", "h1", "h2", normal_words(F.col("text")).alias("norm"))
     texts = texts.where((F.xxhash64("norm") == F.col("h1")) & (F.xxhash64(F.lit(_SECOND), F.col("norm")) == F.col("h2"))).select("no", "norm").dropDuplicates(["no"])
     texts = materialize(texts, "candidate_texts")
     order = F.col("no_a") < F.col("no_b")

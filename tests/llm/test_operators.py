@@ -67,7 +67,7 @@ def test_near_duplicates(spark, dialogues, words, similarity):
 def test_near_duplicates_star_blocks_and_empty(spark):
     rows = [(i, "one two three four five six") for i in range(1, 30)] + [(i, f"ONE two three four, five six{'!' * i}") for i in range(30, 45)] + [(100 + i, f"one two three four five six {i}") for i in range(20)]
     df = spark.createDataFrame(rows, "id long, text string")
-    p = near_dup.Params(words=2, similarity=0.6, star=20, block=3)
+    p = near_dup.Params(words=2, similarity=0.6, star=20, block=3, broadcast_keys=1)
     found = near_dup.near_duplicates(df, "id", "text", p)
     got = {(r.id_a, r.id_b) for r in found.pairs().collect()}
     assert {(1, i) for i in range(2, 30)} <= got and (2, 3) not in got  # byte-identical texts are a star
@@ -100,9 +100,9 @@ def test_signature_estimates_similarity():
 
 
 def test_collisions_of_unrelated_registers():
-    """With few mantissa bits unrelated registers often agree; the correction takes that out."""
+    """Unrelated registers of few mantissa bits often agree; the correction takes that out."""
     rng = np.random.default_rng(3)
-    p = near_dup.Params(mantissa=2)
+    p = near_dup.Params()
     for n, m in ((400, 400), (2000, 300)):
         sets = [rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, m) * 60]
         s = near_dup.signatures(sets, p)

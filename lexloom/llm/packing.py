@@ -2,7 +2,7 @@
 
 Each input partition packs its own documents as they arrive: no shuffle, and memory for a fixed number of open containers only.
 Open containers are found through a bitset keyed by free space, so best-fit is one shift and one lowest-set-bit. When too many are open
-the fullest closes. The containers still open at a partition's end are packed once more, largest piece first.
+the fullest closes. Nothing is packed twice: the containers still open at a partition's end close as they are.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from lexloom.tokenizer.codec import token_count
 from lexloom.tokenizer.vocab import Merges
 
-#: Open containers per partition and capacity.
-OPEN = 1024
+#: Open containers per partition and capacity. On the sizes of documents 64 leave no more room unused than thousands do (README).
+OPEN = 64
 #: More capacities than this are refused (the table is collected).
 MAX_SPECS = 10_000
 
@@ -67,23 +67,9 @@ class BestFit:
             yield self._take((self.bits & -self.bits).bit_length() - 1)
 
     def finish(self) -> Iterator[tuple[int, list]]:
-        """Pack what is still open once more, largest first, and close it."""
-        left, numbers = [], []
+        """Close what is still open, the fullest first."""
         while self.bits:
-            number, items = self._take((self.bits & -self.bits).bit_length() - 1)
-            numbers.append(number)
-            left += items
-        numbers.sort()
-        again = BestFit(self.capacity, len(left) + 1)
-        done = [b for size, item in sorted(left, key=lambda x: -x[0]) for b in again.add(size, item)]
-        while again.bits:
-            done.append(again._take((again.bits & -again.bits).bit_length() - 1))
-        spare = iter(numbers)
-        for _, items in done:
-            number = next(spare, None)
-            if number is None:  # never needed when the second packing is no worse
-                number, self.opened = self.opened, self.opened + 1
-            yield number, items
+            yield self._take((self.bits & -self.bits).bit_length() - 1)
 
 
 def pack_partition(rows: Iterator[pd.DataFrame], specs: list[tuple[int, int]], open_bins: int, partition: int) -> Iterator[pd.DataFrame]:

@@ -92,6 +92,13 @@ def p6_basic(spark: SparkSession, d: str) -> DataFrame:
     return p6_stats(spark, d).select("raw_id", "n_words", "n_lines", "distinct_share", "letter_share")
 
 
+def p6_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The published rules each text fails, and the statistics they look at."""
+    rows = p6_stats(spark, d)
+    known = F.array(F.lit("empty"), *[F.lit(r) for r in text_quality.PUBLISHED])
+    return rows.select("raw_id", "n_words", "common_words", *[F.round(c, 9).alias(c) for c in ("mean_word_length", "symbol_ratio", "bullet_share", "stop_line_share")], F.array_join(F.array_intersect("reasons", known), ",").alias("failed"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(read_table(spark, d, "documents"), read_table(spark, d, "pack_specs"), read_merges(read_table(spark, d, "merges")))
 
@@ -125,5 +132,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_groups, p2_found, p2_totals, p3_found, p3_labels, p4_found, p4_canonical, p5_found, p5_defects, p6_found, p6_stats, p6_basic, p7_found, p7_containers, p8_found, p8_mix, p8_report, p9_found, p9_levels)
+    every = (p1_found, p1_groups, p2_found, p2_totals, p3_found, p3_labels, p4_found, p4_canonical, p5_found, p5_defects, p6_found, p6_stats, p6_basic, p6_rules, p7_found, p7_containers, p8_found, p8_mix, p8_report, p9_found, p9_levels)
     return {f.__name__: f for f in every}

@@ -1,12 +1,16 @@
-"""Per-document text statistics and a rule-based kind: prose, list, table or junk.
+"""Per-document text statistics, the fixed-threshold rules a text fails, and its kind: prose, list, table or junk.
 
-Everything is native expressions over the lines and words of a text: no shuffle, no Python. The statistics are those of the published
-rule sets for web text (mean word length, symbol ratio, bullet lines, lines ending in punctuation, ellipsis lines, words with a letter, common
-words); each fixed threshold that fails is recorded as a reason. The kind follows from which share of the words stands in list or table lines.
+Everything is native expressions over the lines and words of a text: no shuffle, no Python. Each rule compares one or a few statistics with fixed
+numbers, and each one a text fails is recorded as a reason. The rules come in two sets: the published ones for web text, with their published numbers
+(``PUBLISHED``), and rules that tell lists, tables and junk (``OWN``), as the published ones are made for long English pages and fail on most short texts
+of any kind. The kind is read from the recorded reasons alone (:func:`kind_of`): one of ``JUNK`` makes it junk, else one of ``TABLE`` a
+table, else one of ``LIST`` a list, else it is prose.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +24,45 @@ COMMON_WORDS = (
     "el la los las de del un una y a en con por para al que es no se su"
 ).split()
 
-#: Fixed thresholds: the published ones where there are any, else chosen so that natural prose of any language keeps clear of them.
-THRESHOLDS = {
-    "mean_word_length": (2.0, 14.0),
-    "symbol_ratio": 0.1,
-    "bullet_share": 0.9,
-    "ellipsis_share": 0.3,
-    "lettered_share": 0.5,
-    "distinct_share": 0.3,
-    "noise_share": 0.25,
+#: Published thresholds. Gopher (Rae et al. 2021, table A1): words, mean word length, symbols (# and ellipses) a word, bullet lines, lines ending in
+#: an ellipsis, words with a letter, stop words, duplicate lines. FineWeb (Penedo et al. 2024): lines ending in punctuation, duplicate characters in lines are left out.
+PUBLISHED = {
+    "gopher_words": (50, 100_000),
+    "gopher_word_length": (3.0, 10.0),
+    "gopher_symbols": 0.1,
+    "gopher_bullets": 0.9,
+    "gopher_ellipses": 0.3,
+    "gopher_letters": 0.8,
+    "gopher_stop_words": 2,
+    "gopher_duplicate_lines": 0.3,
+    "fineweb_stops": 0.12,
+}
+#: Chosen thresholds: prose of any of the corpus' languages and spellings keeps clear of them, also in texts of a few words.
+OWN = {
+    "overlong_words": 25,  # characters a word, on average
+    "repetition": 0.3,  # distinct words a word, below which a text of 6 words repeats itself
+    "repeated_lines": 0.5,  # distinct lines a line, of 3 lines
+    "unpronounceable": 0.25,  # unpronounceable letter runs a word
+    "noise_without_words": 0.1,  # the same, where hardly any common word is seen:
+    "hardly_common": 0.03,
+    "rarely_common": 0.1,
+    "few_letters": 0.4,  # letters outside markup and runs of one character, of all visible characters
+    "hardly_letters": 0.2,
+    "markup": 0.25,
+    "broken_characters": 0.05,
+    "wrong_decoding": 0.3,
+    "hex_dump": 0.6,
+    "tags": 0.5,
+    "table_lines": 0.5,  # lines in rows of a table
+    "value_words": 0.6,  # words in field-value lines
+    "list_words": 0.5,  # words in lines of an enumeration
+    "marked_item_words": 8,  # words an inline item with a mark, and without
+    "item_words": 6,
 }
+#: Reasons that decide the kind, in this order.
+JUNK = ("gopher_symbols", "gibberish", "repetition", "repeated_lines", "overlong_words", "broken_characters", "wrong_decoding", "hex_dump", "few_letters", "hardly_letters", "tags")
+TABLE = ("table_rows", "field_values")
+LIST = ("gopher_bullets", "list_lines", "inline_marks", "inline_items")
 
 _ODD_BLANKS = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 _INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
@@ -61,7 +94,7 @@ def _chars(text: Column, char: str) -> Column:
 
 
 def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") -> DataFrame:
-    """Add a struct ``name`` with the statistics, the failed rules (``reasons``) and the ``kind``.
+    """Add a struct ``name`` with the statistics, the failed rules (``reasons``: their names) and the ``kind`` that follows from them.
 
     Null and blank texts get statistics of zero, the only reason ``empty`` and a null kind. Texts are taken whole, of any length; ties
     (as many words in list as in table lines) go to the table. Columns of ``df`` named like a statistic don't matter, as all are inside
@@ -85,6 +118,7 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
     out = out.withColumn(at("visible"), F.length(F.array_join(words, "")))
 
     def line(x: Column) -> Column:
+        """A line with what rules ask of it. A price line has at most 9 words and a field-value line at most 12, as part of what they are."""
         n = F.regexp_count(x, F.lit(r"\S+"))
         return F.struct(
             x.alias("x"), n.alias("n"), x.rlike(_STOP).alias("stop"), x.rlike(_BULLET).alias("bullet"), x.rlike(r"^\s*[–—]\s").alias("dash"),
@@ -129,7 +163,8 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
         "hex_share": _share(F.regexp_count(t, F.lit(r"(?<!\S)[0-9A-Fa-f]{2}(?!\S)")), n_words),
         "distinct_share": _share(F.size(F.array_distinct(words)), n_words),
         "distinct_line_share": _share(F.size(F.array_distinct(lines)), n_lines),
-        "common_share": _share(F.size(F.filter(F.split(low, r"[^\p{L}]+"), lambda x: x.isin(*sorted(set(COMMON_WORDS))))), n_words),
+        "common_words": F.size(F.filter(F.split(low, r"[^\p{L}]+"), lambda x: x.isin(*sorted(set(COMMON_WORDS))))),
+        "common_share": _share(q("common_words"), n_words),
         "mojibake_share": F.when(t.rlike("[ÃÐÑÂ]"), _share(2 * F.regexp_count(t, F.lit("[ÃÐÑÂ]")), visible)).otherwise(0.0),
         "broken_share": _share(_chars(t, "�"), visible),
         "list_words": mass(lambda x: listing(x) | x["price"] | short(x)),
@@ -140,43 +175,60 @@ def text_stats(df: DataFrame, text_col: str = "text", name: str = "quality") ->
         "inline_items": F.regexp_count(t, F.lit(r";\s+|\s[/|>»·•→]\s")) + 1,
         "sentences": F.regexp_count(t, F.lit(r"[.!?…]+(?:\s|$)")) + 1,
     }
-    out = out.withColumns({at(k): v for k, v in stats.items()})
+    out = out.withColumn(at("common_words"), stats.pop("common_words")).withColumns({at(k): v for k, v in stats.items()})
+    stats["common_words"] = q("common_words")
     # The kind asks for unpronounceable words only where common words are rare: where the kind alone is wanted, the other texts are spared.
     noise = _share(F.regexp_count(low, F.lit(_NOISE)), q("n_words"))
-    out = out.withColumn(at("rare_noise"), F.when(q("common_share") < 0.1, noise))
+    out = out.withColumn(at("rare_noise"), F.when(q("common_share") < OWN["rarely_common"], noise))
     stats["noise_share"] = F.coalesce(q("rare_noise"), noise)
     out = out.withColumn(at("noise_share"), stats["noise_share"])
     empty = q("n_words") == 0
-    rules = [
-        ("short_or_long_words", ~q("mean_word_length").between(*THRESHOLDS["mean_word_length"])),
-        ("symbols", q("symbol_ratio") > THRESHOLDS["symbol_ratio"]),
-        ("bullets", q("bullet_share") > THRESHOLDS["bullet_share"]),
-        ("ellipses", q("ellipsis_share") > THRESHOLDS["ellipsis_share"]),
-        ("words_without_letters", q("lettered_share") < THRESHOLDS["lettered_share"]),
-        ("no_common_words", (q("common_share") == 0) & (q("n_words") >= 8)),
-        ("repetition", (q("distinct_share") < THRESHOLDS["distinct_share"]) & (q("n_words") >= 6)),
-        ("repeated_lines", (q("distinct_line_share") <= 0.5) & (q("n_lines") >= 3)),
-        ("unpronounceable", (q("noise_share") > THRESHOLDS["noise_share"]) & (q("n_words") >= 3)),
-        ("markup", (q("bare_letter_share") < 0.25) & (q("letter_share") >= 0.25)),
-        ("few_letters", q("letter_share") < 0.4),
-        ("broken_characters", q("broken_share") > 0.05),
-        ("wrong_decoding", q("mojibake_share") > 0.3),
-        ("hex_dump", q("hex_share") > 0.6),
-        ("tags", q("tag_share") > 0.5),
-        ("no_stops", (q("stop_line_share") < 0.1) & (q("n_lines") >= 3)),
-    ]
-    table = (q("table_lines") >= 2) & (q("table_lines") * 2 >= q("n_lines")) | (q("value_lines") >= 2) & (q("value_words") * 10 >= q("n_words") * 6)
-    per_item = q("n_words") / q("inline_items")
-    inline = ((q("inline_marks") >= 3) & (q("n_words") / q("inline_marks") <= 8) & (q("sentences") <= q("inline_marks") + 2)) | ((q("inline_items") >= 4) & (per_item <= 6) & (q("sentences") <= 2 + q("inline_items") / 4))
-    listed = (q("n_lines") >= 2) & (q("list_words") * 2 > q("n_words")) | inline
+    two, three = q("n_lines") >= 2, q("n_lines") >= 3
+    per_mark, per_item = q("n_words") / q("inline_marks"), q("n_words") / q("inline_items")
+    rules = {
+        "gopher_words": ~q("n_words").between(*PUBLISHED["gopher_words"]),
+        "gopher_word_length": ~q("mean_word_length").between(*PUBLISHED["gopher_word_length"]),
+        "gopher_symbols": q("symbol_ratio") > PUBLISHED["gopher_symbols"],
+        "gopher_bullets": q("bullet_share") > PUBLISHED["gopher_bullets"],
+        "gopher_ellipses": q("ellipsis_share") > PUBLISHED["gopher_ellipses"],
+        "gopher_letters": q("lettered_share") < PUBLISHED["gopher_letters"],
+        "gopher_stop_words": q("common_words") < PUBLISHED["gopher_stop_words"],
+        "gopher_duplicate_lines": 1 - q("distinct_line_share") > PUBLISHED["gopher_duplicate_lines"],
+        "fineweb_stops": q("stop_line_share") <= PUBLISHED["fineweb_stops"],
+        "unpronounceable": (q("noise_share") > OWN["unpronounceable"]) & (q("n_words") >= 3),
+        "markup": (q("bare_letter_share") < OWN["markup"]) & (q("letter_share") >= OWN["markup"]),
+        "table_rows": (q("table_lines") >= 2) & (q("table_lines") >= OWN["table_lines"] * q("n_lines")),
+        "field_values": (q("value_lines") >= 2) & (q("value_words") * 10 >= q("n_words") * int(10 * OWN["value_words"])),
+        "list_lines": two & (q("list_words") > OWN["list_words"] * q("n_words")),
+        "inline_marks": (q("inline_marks") >= 3) & (per_mark <= OWN["marked_item_words"]) & (q("sentences") <= q("inline_marks") + 2),
+        "inline_items": (q("inline_items") >= 4) & (per_item <= OWN["item_words"]) & (q("sentences") <= 2 + q("inline_items") / 4),
+    }
+    table = rules["table_rows"] | rules["field_values"]
+    listed = rules["list_lines"] | rules["inline_marks"] | rules["inline_items"]
     rare_noise = F.coalesce(q("rare_noise"), F.lit(0.0))
-    noisy = (rare_noise > THRESHOLDS["noise_share"]) | (rare_noise > 0.1) & (q("common_share") < 0.03)
-    repeated = (q("distinct_share") < THRESHOLDS["distinct_share"]) & (q("n_words") >= 6) & (q("table_lines") < 3) | (q("distinct_line_share") <= 0.5) & (q("n_lines") >= 3) & (q("bullet_share") < 0.5) & ~table
-    encoded = (q("mean_word_length") > 25) | (q("broken_share") > 0.05) | (q("mojibake_share") > 0.3) | (q("hex_share") > 0.6)
-    unlettered = (q("bare_letter_share") < 0.4) & ~table & ~listed | (q("bare_letter_share") < 0.2) & ~table
-    junk = noisy | repeated | encoded | unlettered | (q("tag_share") > 0.5)
-    kind = F.when(empty, F.lit(None).cast("string")).when(junk, "junk").when(table, "table").when(listed, "list").otherwise("prose")
+    rules |= {
+        "gibberish": (rare_noise > OWN["unpronounceable"]) | (rare_noise > OWN["noise_without_words"]) & (q("common_share") < OWN["hardly_common"]),
+        "repetition": (q("distinct_share") < OWN["repetition"]) & (q("n_words") >= 6) & (q("table_lines") < 3),
+        "repeated_lines": (q("distinct_line_share") <= OWN["repeated_lines"]) & three & (q("bullet_share") < 0.5) & ~table,
+        "overlong_words": q("mean_word_length") > OWN["overlong_words"],
+        "broken_characters": q("broken_share") > OWN["broken_characters"],
+        "wrong_decoding": q("mojibake_share") > OWN["wrong_decoding"],
+        "hex_dump": q("hex_share") > OWN["hex_dump"],
+        "few_letters": (q("bare_letter_share") < OWN["few_letters"]) & ~table & ~listed,
+        "hardly_letters": (q("bare_letter_share") < OWN["hardly_letters"]) & ~table,
+        "tags": q("tag_share") > OWN["tags"],
+    }
+    # The same conditions that are recorded decide; as columns and not as a search in the array, so that those that don't matter need not be computed.
+    failed = lambda names: F.greatest(*[F.coalesce(rules[k], F.lit(False)) for k in names])
+    kind = F.when(empty, F.lit(None).cast("string")).when(failed(JUNK), "junk").when(failed(TABLE), "table").when(failed(LIST), "list").otherwise("prose")
     hidden = ("value_words", "sentences")
-    reasons = F.when(empty, F.array(F.lit("empty"))).otherwise(F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in rules]), lambda x: x.isNotNull()))
+    reasons = F.when(empty, F.array(F.lit("empty"))).otherwise(F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]), lambda x: x.isNotNull()))
     out = out.withColumn(name, F.struct(*[q(k).alias(k) for k in stats if k not in hidden], reasons.alias("reasons"), kind.alias("kind")))
     return out.drop(*[c for c in out.columns if c.startswith(f"__{name}_")])
+
+
+def kind_of(reasons: Sequence[str]) -> str | None:
+    """The kind that recorded reasons stand for."""
+    if "empty" in reasons:
+        return None
+    return next((kind for kind, names in (("junk", JUNK), ("table", TABLE), ("list", LIST)) if set(names) & set(reasons)), "prose")

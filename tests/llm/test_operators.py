@@ -292,7 +292,7 @@ def test_kinds(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(KINDS)], "raw_id long, text string").withColumn("n_words", F.lit("clash"))
     got = {r.raw_id: r for r in text_quality.text_stats(df).select("raw_id", "n_words", "quality").collect()}
     for i, (kind, text) in enumerate(KINDS):
-        assert got[i].quality.kind == kind, (text, got[i].quality)
+        assert got[i].quality.kind == kind == text_quality.kind_of(got[i].quality.reasons), (text, got[i].quality)
         assert got[i].quality.n_words == len((text or "").split()) and got[i].n_words == "clash"
     assert got[len(KINDS) - 1].quality.reasons == ["empty"] and "markup" in got[17].quality.reasons
     long = spark.createDataFrame([(1, KINDS[0][1] * 3000)], "raw_id long, text string")

@@ -83,9 +83,9 @@ def pre_tokenize(text: Column | str) -> Column:
 
 
 def titled_document(title: Column | str, text: Column | str) -> Column:
-    """Title and text on two lines, unless one is missing or the text begins with the title."""
+    """Title and text on two lines, unless one is missing or the text begins with the title. An empty text stays empty."""
     a, b = strip(F.coalesce(_c(title), F.lit(""))), strip(F.coalesce(_c(text), F.lit("")))
-    return F.when((a != "") & (b != "") & ~F.startswith(b, a), F.concat_ws("\n", a, b)).otherwise(F.when(b != "", b).otherwise(a))
+    return F.when((a != "") & (b != "") & ~F.startswith(b, a), F.concat_ws("\n", a, b)).otherwise(b)
 
 
 def fill_template(template: Column | str, slots: Column | str, default: str = "…") -> Column:

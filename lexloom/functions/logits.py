@@ -70,6 +70,50 @@ def _where(values: Column, test) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
+#: Settings for chatting.
+CHAT = {"temperature": 0.7, "k": 50, "mass": 0.9, "share": 0.0, "repetition": 1.05, "frequency": 0.3, "presence": 0.3}
+
+
+def sample_token(
+    logits: Column | str, history: Column | str | None = None, draw: Column | float = 0.0, temperature_: float = 1.0, k: int = 0, mass: float = 1.0, share: float = 0.0,
+    repetition: float = 1.0, frequency: float = 0.0, presence: float = 0.0,
+) -> Column:
+    """The next position (from 0): penalties for the history, temperature, least share of the largest probability, the k largest, the top mass, then a draw.
+
+    ``draw`` in [0, 1) picks by the probabilities left, in falling order (ties by position); a temperature of 0 or less takes the largest. Each filter
+    works on what the one before left. Null for null or no logits."""
+    x = F.transform(_c(logits), lambda v: v.cast("double"))
+    if history is not None and repetition != 1.0:
+        x = repetition_penalty(x, history, repetition)
+    if history is not None and (frequency or presence):
+        x = count_penalties(x, history, frequency, presence)
+    if temperature_ <= 0:
+        return argmax(x).cast("int")
+
+    def chosen(p: Column) -> Column:
+        ranked = F.array_sort(F.transform(p, lambda v, i: F.struct((-v).alias("n"), i.alias("i"))))
+        kept = F.filter(ranked, lambda e: -e["n"] >= share * F.array_max(p)) if share > 0 else ranked
+        if k > 0:  # all that tie with the k-th stay
+            kept = let(kept, lambda r: let(F.get(r, F.least(F.lit(k), F.size(r)) - 1), lambda least: F.filter(r, lambda e: e["n"] <= least["n"])))
+
+        def drawn(r: Column) -> Column:
+            total = F.aggregate(r, F.lit(0.0), lambda a, e: a - e["n"])
+            if mass < 1:
+                zero = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<n:double,i:int>>").alias("kept"))
+                top = let(total, lambda t: F.aggregate(r, zero, lambda a, e: F.struct((a["sum"] - e["n"] / t).alias("sum"), F.when(a["sum"] <= mass, F.array_append(a["kept"], e)).otherwise(a["kept"]).alias("kept")))["kept"])
+                return let(top, pick)
+            return pick(r)
+
+        def pick(r: Column) -> Column:
+            at = F.aggregate(r, F.lit(0.0), lambda a, e: a - e["n"]) * (F.lit(draw) if isinstance(draw, (int, float)) else draw)
+            found = let(at, lambda t: F.aggregate(r, F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("i")), lambda a, e: F.struct((a["sum"] - e["n"]).alias("sum"), F.when((a["i"] < 0) & (a["sum"] - e["n"] > t), e["i"]).otherwise(a["i"]).alias("i")))["i"])
+            return F.when(found >= 0, found).otherwise(F.element_at(r, -1)["i"])
+
+        return let(kept, drawn)
+
+    return F.when(F.size(x) > 0, let(softmax(F.transform(x, lambda v: v / temperature_)), chosen))
+
+
 def dpo_loss(policy_good: Column, policy_bad: Column, reference_good: Column, reference_bad: Column, beta: float = 0.1) -> Column:
     """-log sigmoid(beta * difference of the log-ratios), in a form that does not overflow."""
     z = beta * ((policy_good - policy_bad) - (reference_good - reference_bad))

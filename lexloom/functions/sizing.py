@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 # Name, vocabulary, hidden size, layers, heads, key-value heads, feed-forward size, tied embeddings.
 CONFIGS = [
-    ("100m", 32000, 768, 10, 12, 12, 2048, True),
-    ("300m", 32000, 1024, 24, 16, 16, 2816, True),
-    ("1b", 32000, 2048, 18, 16, 8, 5504, True),
+    ("100m", 32768, 512, 16, 8, 4, 2048, False),
+    ("300m", 32768, 1024, 24, 16, 8, 3072, False),
+    ("1b", 32768, 1536, 24, 24, 8, 6144, False),
+    ("3b", 32768, 2560, 32, 32, 8, 10240, False),
+    ("7b", 32768, 4096, 32, 32, 8, 14336, False),
+    ("13b", 32768, 5120, 40, 40, 8, 13824, False),
+    ("70b", 32768, 8192, 80, 64, 8, 28672, False),
+    ("405b", 128000, 16384, 126, 128, 8, 53248, False),
+    ("800b", 256000, 20480, 170, 128, 16, 61440, False),
 ]
 CONFIG_SCHEMA = "name string, vocab_size long, hidden_size long, num_layers long, num_heads long, num_kv_heads long, intermediate_size long, tie_embeddings boolean"
 
@@ -43,18 +49,26 @@ def training_estimate(df: DataFrame, params: str, tokens: float, accelerators: i
     return df.withColumn("training_flops", flops).withColumn("training_days", flops / (accelerators * tflops * 1e12 * utilisation) / 86400)
 
 
-def memory_estimate(df: DataFrame, params: str) -> DataFrame:
-    """GB of weights and gradients in 2 bytes and of an optimizer with three 4-byte copies."""
+def memory_estimate(df: DataFrame, params: str, element_bytes: int = 2, optimizer_copies: int = 3, batch: int = 0, seq_len: int = 0) -> DataFrame:
+    """GB of weights and gradients, of an optimizer with 4-byte copies, and of activations (needs ``num_layers, hidden_size``; a batch of 0 has none)."""
     gb = F.col(params).cast("double") / 1e9
-    return df.withColumns({"weights_gb": gb * 2, "gradients_gb": gb * 2, "optimizer_gb": gb * 12, "total_gb": gb * 16})
+    kept = F.col("num_layers") * F.col("hidden_size") * F.lit(2.0 * batch * seq_len * element_bytes) / 1e9 if batch else F.lit(0.0)
+    parts = {"weights_gb": gb * element_bytes, "gradients_gb": gb * element_bytes, "optimizer_gb": gb * 4 * optimizer_copies, "activations_gb": kept}
+    return df.withColumns(parts).withColumn("total_gb", F.col("weights_gb") + F.col("gradients_gb") + F.col("optimizer_gb") + F.col("activations_gb"))
 
 
 # Least accelerator memory (GB) by configuration.
 CONFIG_VRAM = [("100m", 3.0), ("300m", 6.0), ("1b", 18.0), ("3b", 45.0), ("7b", 90.0), ("13b", 160.0), ("70b", 800.0), ("405b", 4600.0), ("800b", 9000.0)]
 
 
+#: Configurations to choose from; their table is broadcast.
+MAX_CONFIGS = 1000
+
+
 def recommend(devices: DataFrame, needs: DataFrame) -> DataFrame:
     """For each ``device, vram_gb`` the largest configuration that fits, or null. ``needs`` is a table of a few configurations."""
+    if needs.limit(MAX_CONFIGS + 1).count() > MAX_CONFIGS:
+        raise ValueError(f"more than {MAX_CONFIGS} configurations")
     fits = devices.join(F.broadcast(needs), F.col("min_vram_gb") <= F.col("vram_gb"), "left")
     return fits.groupBy("device", "vram_gb").agg(F.max_by("config", "min_vram_gb").alias("config"))
 
@@ -77,6 +91,14 @@ def warmup_cosine_from_one(step: Column | str, warmup: int, steps: int, base: fl
     return F.when(s < warmup, base * (s + 1) / max(1, warmup)).otherwise(low + 0.5 * (base - low) * (1 + F.cos(F.lit(math.pi) * progress)))
 
 
+def mean_loss(df: DataFrame, by: list[str], loss: str, order: list[str], batches: int = 50) -> DataFrame:
+    """``loss, n`` per key: the mean of its first ``batches`` losses in order, each batch with the same weight; 0 where none is known."""
+    from lexloom.operators.dedup import capped_per_key
+
+    first = capped_per_key(df, by, order, batches)
+    return first.groupBy(*by).agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss"), F.count(loss).alias("n"))
+
+
 def ema(values: Column | str, decay: float) -> Column:
     """Exponential moving average of an ordered array; the first value starts it."""
     v = F.col(values) if isinstance(values, str) else values

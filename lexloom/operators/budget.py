@@ -26,8 +26,10 @@ def first_share(df: DataFrame, share: float, order_col: str = "doc_id") -> DataF
 
 
 def keep_by_language(df: DataFrame, fractions: dict[str, float], seed: int = 0, lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """Keep each row with its language's probability (0 for languages not listed). The draw depends on the id, not on the partitioning."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    """Keep each row with its language's probability (0 for languages not listed). The draw depends on seed and id, not on the partitioning: the first 32 bits of
+    the MD5 of ``seed:id``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     share = F.lit(0.0)
     for lang, f in fractions.items():
         share = F.when(F.col(lang_col) == lang, f).otherwise(share)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +28,24 @@ def best_pair(pairs: DataFrame) -> DataFrame:
 
 
 def merge_pair(ids: Column | str, a: int, b: int, new: int) -> Column:
-    """Replace each non-overlapping pair from the left."""
-    x = F.col(ids) if isinstance(ids, str) else ids
-    zero = F.array().cast("array<int>")
+    """Replace each non-overlapping pair from the left, in one Arrow pass linear in the ids. Null for null."""
 
-    def step(out: Column, v: Column) -> Column:
-        last = F.element_at(out, -1)
-        return F.when((F.size(out) > 0) & (last == a) & (v == b), F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.lit(new))).otherwise(F.array_append(out, v))
+    @F.pandas_udf("array<int>")
+    def merged(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else _merge(np.asarray(x), a, b, new) for x in s])
 
-    return F.aggregate(x, zero, step)
+    return merged(F.col(ids) if isinstance(ids, str) else ids)
+
+
+def _merge(x: np.ndarray, a: int, b: int, new: int) -> np.ndarray:
+    hit = np.flatnonzero((x[:-1] == a) & (x[1:] == b))
+    if a == b and len(hit):  # in a run of one id every second position counts
+        start = np.r_[True, np.diff(hit) > 1]
+        run = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
+        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+    out = x.copy()
+    out[hit] = new
+    return np.delete(out, hit + 1)
 
 
 def tokenizer_stats(df: DataFrame, text_col: str, n_tokens: str) -> DataFrame:
@@ -48,12 +59,10 @@ def tokenizer_stats(df: DataFrame, text_col: str, n_tokens: str) -> DataFrame:
 
 def dialogue_report(df: DataFrame, lang: str = "lang", bucket: str = "bucket") -> DataFrame:
     """Dialogues and turns in all, by language and by bucket, in one pass (grouping sets)."""
-    df.createOrReplaceTempView("_lexloom_dialogues")
-    return df.sparkSession.sql(
-        f"""SELECT CASE WHEN grouping({lang}) = 0 THEN 'lang' WHEN grouping({bucket}) = 0 THEN 'bucket' ELSE 'all' END AS part,
-                   coalesce({lang}, {bucket}) AS value, count(*) AS dialogues, sum(turns) AS turns, avg(turns) AS avg_turns
-            FROM _lexloom_dialogues GROUP BY GROUPING SETS (({lang}), ({bucket}), ())"""
-    )
+    sets = df.groupingSets([[F.col(lang)], [F.col(bucket)], []], F.col(lang), F.col(bucket))
+    part = F.when(F.grouping(lang) == 0, "lang").when(F.grouping(bucket) == 0, "bucket").otherwise("all")
+    rows = sets.agg(part.alias("part"), F.count(F.lit(1)).alias("dialogues"), F.sum("turns").alias("turns"), F.avg("turns").alias("avg_turns"))
+    return rows.select("part", F.coalesce(lang, bucket).alias("value"), "dialogues", "turns", "avg_turns")
 
 
 def suite_scores(df: DataFrame) -> DataFrame:

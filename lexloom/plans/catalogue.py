@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import clean, dialogue, filters, language, logits, metrics, sizing, suites
 from lexloom.functions.patterns import CARD, CONTROL, EMAIL, PHONE, PIECE, SPACE_VARIANTS, URL, WS
-from lexloom.operators import budget, corpus, dedup, shards
+from lexloom.operators import budget, corpus, dedup, embedding, shards
 from lexloom.session import materialize, read_table, spread, work_dir
+from lexloom.tokenizer import chat, codec
+from lexloom.tokenizer.vocab import read_merges
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -196,7 +198,10 @@ def longest_per_source(spark: SparkSession, d: str) -> DataFrame:
     return dedup.capped_per_key(rows, ["source"], ["_o", "doc_id"], 5).drop("_o")
 
 
-@query()
+_DRAW = "('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"SELECT doc_id, lower(lang) AS lang FROM documents WHERE {_DRAW} < CASE lower(lang) WHEN 'ru' THEN 0.5 WHEN 'en' THEN 1.0 ELSE 0.0 END")
 def language_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").select("doc_id", F.lower("lang").alias("lang"))
     return budget.keep_by_language(rows, {"ru": 0.5, "en": 1.0})
@@ -294,22 +299,23 @@ def dialogue_report(spark: SparkSession, d: str) -> DataFrame:
     return corpus.dialogue_report(read_table(spark, d, "shards"))
 
 
-@query("SELECT shard, count(*) AS dialogues, sum(turns)::BIGINT AS turns, sum(strlen(text)) / (1024.0::DOUBLE * 1024.0) AS size_mb FROM shards GROUP BY shard")
+@query("SELECT shard, count(*) AS dialogues, sum(turns)::BIGINT AS turns, sum(strlen(text))::BIGINT AS tokens, sum(strlen(text)) / (1024.0::DOUBLE * 1024.0) AS size_mb FROM shards GROUP BY shard")
 def dialogue_shards(spark: SparkSession, d: str) -> DataFrame:
     from lexloom.sources.sinks import dialogue_meta
 
-    return dialogue_meta(read_table(spark, d, "shards").select("shard", "turns", "text", F.lit(0).alias("tokens"))).drop("tokens")
+    return dialogue_meta(read_table(spark, d, "shards").select("shard", "turns", "text", F.octet_length("text").cast("long").alias("tokens")))
 
 
 @query()
 def near_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.near_dedup(spread(read_table(spark, d, "documents").select("doc_id", "text"))).select("doc_id")
+    rows = spread(read_table(spark, d, "shards").select("dialogue_id", "text").dropDuplicates(["dialogue_id"]))
+    return dedup.near_dedup(rows, id_col="dialogue_id").select("dialogue_id")
 
 
 @query()
 def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    docs = dedup.exact_dedup(spread(read_table(spark, d, "documents").select("doc_id", "text")))
-    return dedup.minhash_pairs(docs)
+    rows = spread(read_table(spark, d, "shards").select("dialogue_id", "text").dropDuplicates(["dialogue_id"]))
+    return dedup.minhash_pairs(dedup.exact_dedup(rows, order_col="dialogue_id"), id_col="dialogue_id")
 
 
 @query()
@@ -343,11 +349,11 @@ def longest_runs(spark: SparkSession, d: str) -> DataFrame:
 _BROKEN = "(invalid_char_ratio > 0.02 OR symbol_ratio > 0.05 OR repetition_ratio > 0.4 OR max_run_ratio > 0.5 OR word_fragment_ratio > 0.3)"
 
 
-@query(f"SELECT checkpoint, suite, count(*) AS samples, avg({_BROKEN}::INTEGER) AS broken_rate, sum(reply_length)::DOUBLE / count(reply_length) AS avg_length FROM quality_report GROUP BY 1, 2")
+@query(f"SELECT checkpoint, suite, count(*) AS samples, avg({_BROKEN}::INTEGER) AS broken_rate, round(avg(repetition_ratio), 6) AS avg_repetition, sum(reply_length)::DOUBLE / count(reply_length) AS avg_length FROM quality_report GROUP BY 1, 2")
 def generation_report(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "quality_report")
     m = F.struct("invalid_char_ratio", "symbol_ratio", "repetition_ratio", "max_run_ratio", "word_fragment_ratio")
-    return corpus.generation_report(rows, metrics.is_broken(m), ["checkpoint", "suite"]).drop("avg_repetition")
+    return corpus.generation_report(rows, metrics.is_broken(m), ["checkpoint", "suite"]).withColumn("avg_repetition", F.round("avg_repetition", 6))
 
 
 @query("SELECT sample_id, reported_at, (" + _strip("prompt") + " = " + _strip("reply") + ")::INTEGER::DOUBLE AS exact, contains(lower(reply), lower('сервер')) OR contains(lower(reply), lower('the')) OR contains(lower(reply), lower('НА')) AS hit FROM quality_report WHERE prompt IS NOT NULL AND reply IS NOT NULL")
@@ -362,10 +368,13 @@ def _items_sql() -> str:
     return f"(VALUES {rows}) AS t(suite, prompt, answers)"
 
 
-@query(f"SELECT suite, count(*) AS total, count(*) FILTER (WHERE len(answers) > 0) AS scored, coalesce(avg(CASE WHEN len(answers) > 0 THEN (len(list_filter(answers, lambda a: contains(lower(prompt), lower(a)))) > 0)::INTEGER END), 0.0) AS accuracy FROM {_items_sql()} GROUP BY suite")
+@query(f"WITH r AS (SELECT reply FROM quality_report WHERE reply IS NOT NULL), t AS (SELECT * FROM {_items_sql()}) SELECT suite, count(*) AS total, count(*) FILTER (WHERE len(answers) > 0) AS scored, coalesce(avg(CASE WHEN len(answers) > 0 THEN (len(list_filter(answers, lambda a: contains(lower(reply), lower(a)))) > 0)::INTEGER END), 0.0) AS accuracy FROM r CROSS JOIN t GROUP BY suite")
 def benchmark_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The built-in suites scored with the prompts as their own answers."""
-    return corpus.suite_scores(suites.suite(spark).withColumn("hit", metrics.contains_any("prompt", "answers")))
+    """Every reply scored against every item of the built-in suites: how often an answer would be accepted by chance."""
+    replies = read_table(spark, d, "quality_report").where("reply is not null").select("reply")
+    items = F.array(*[F.struct(F.lit(s).alias("suite"), F.array(*[F.lit(a) for a in answers]).cast("array<string>").alias("answers")) for s, _, answers, _ in suites.ITEMS])
+    rows = replies.select("reply", F.explode(items).alias("i")).select("reply", "i.*")
+    return corpus.suite_scores(rows.withColumn("hit", metrics.contains_any("reply", "answers")))
 
 
 # --- shards and windows --------------------------------------------------------------------------------------------
@@ -387,9 +396,10 @@ def token_shards(spark: SparkSession, d: str) -> DataFrame:
     return _shards(spark, d).select("shard", F.size("tokens").cast("long").alias("n"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("digest"))
 
 
-@query(f"WITH {_STREAM} SELECT 'uint16' AS dtype, count(*) AS num_shards, sum(len(tokens))::BIGINT AS total_tokens FROM h")
+@query(f"WITH {_STREAM} SELECT 'uint16' AS dtype, count(*) AS num_shards, sum(len(tokens))::BIGINT AS total_tokens, string_agg(printf('shard_%05d.bin', shard) || ':' || len(tokens), ',' ORDER BY shard) AS shards FROM h")
 def shard_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return shards.shard_manifest(_shards(spark, d), 968).drop("shards")
+    listed = F.array_join(F.transform("shards", lambda s: F.concat(s["file"], F.lit(":"), s["tokens"])), ",")
+    return shards.shard_manifest(_shards(spark, d), 968).withColumn("shards", listed)
 
 
 @query(f"WITH {_STREAM}, w AS (SELECT shard, unnest(range(0, len(tokens) - {SEQ} + 1, {SEQ})) AS start, tokens FROM h WHERE len(tokens) >= {SEQ}) SELECT shard, start::INTEGER AS start, list_sum(tokens[start + 1 : start + {SEQ} - 1])::BIGINT AS sum_x, list_sum(tokens[start + 2 : start + {SEQ}])::BIGINT AS sum_y FROM w")
@@ -449,7 +459,15 @@ def top_k_positions(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(kept.cast("array<string>"), ", "), F.lit("]")).alias("kept"))
 
 
-@query()
+_PROB = "list_transform(embedding, lambda v: exp(v::DOUBLE - list_max(embedding)::DOUBLE))"
+
+
+@query(
+    f"WITH e AS (SELECT vec_id, {_PROB} AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e), "
+    "r AS (SELECT vec_id, p, list_sort(list_transform(p, lambda v, i: {'n': -v, 'i': i - 1})) AS r FROM p) "
+    "SELECT vec_id, array_to_string(list_transform(list_filter(r, lambda x, k: k = 1 OR list_sum(list_transform(r[1 : k - 1], lambda y: -y.n)) <= 0.5), lambda x: x.i), ',') AS top_p, "
+    "array_to_string(list_filter(list_transform(p, lambda v, i: CASE WHEN v >= 0.5 * list_max(p) THEN i - 1 END), lambda i: i IS NOT NULL), ',') AS min_p FROM r"
+)
 def top_p_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "embeddings")
     return rows.select("vec_id", F.array_join(logits.top_p("embedding", 0.5).cast("array<string>"), ",").alias("top_p"), F.array_join(logits.min_p("embedding", 0.5).cast("array<string>"), ",").alias("min_p"))
@@ -460,7 +478,9 @@ def top_p_positions(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream_input(spark: SparkSession, d: str) -> DataFrame:
     """The shards table as a stream over a folder of the shared directory."""
-    path = f"{work_dir(spark)}/stream-{abs(hash(d))}"
+    import uuid
+
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = read_table(spark, d, "shards").select("dialogue_id", "text", "signature", F.col("created_at").cast("timestamp").alias("created_at")).dropDuplicates(["dialogue_id"])
     rows.write.mode("overwrite").parquet(f"{path}/in")
     return spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
@@ -477,33 +497,84 @@ def _run_stream(df: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
-@query(f"SELECT count(*) AS n, count(DISTINCT doc_hash) AS texts FROM (SELECT DISTINCT sha256({_norm("coalesce(text, '')")}) AS doc_hash FROM shards)")
+@query(f"SELECT DISTINCT sha256({_norm("coalesce(text, '')")}) AS doc_hash FROM shards")
 def stream_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     from lexloom.streaming.dialogues import stream_exact_dedup as once
 
-    return _run_stream(once(_stream_input(spark, d))).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_hash").alias("texts"))
+    return _run_stream(once(_stream_input(spark, d))).select("doc_hash")
 
 
-@query(f"WITH d AS (SELECT dialogue_id, any_value(signature) AS signature FROM shards GROUP BY dialogue_id) SELECT count(*) AS n FROM (SELECT signature, row_number() OVER (PARTITION BY {_SIGNATURE} ORDER BY dialogue_id) AS r FROM d) WHERE r <= 3 OR signature IS NULL OR len(signature) = 0")
+@query(f"WITH d AS (SELECT dialogue_id, any_value(signature) AS signature FROM shards GROUP BY dialogue_id) SELECT dialogue_id FROM (SELECT dialogue_id, signature, row_number() OVER (PARTITION BY {_SIGNATURE} ORDER BY dialogue_id) AS r FROM d) WHERE r <= 3 OR signature IS NULL OR len(signature) = 0")
 def stream_template_cap(spark: SparkSession, d: str) -> DataFrame:
     from lexloom.streaming.dialogues import stream_template_cap as capped
 
-    return _run_stream(capped(_stream_input(spark, d))).agg(F.count(F.lit(1)).alias("n"))
+    return _run_stream(capped(_stream_input(spark, d))).select("dialogue_id")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded with the merges and decoded again."""
+    merges = read_merges(read_table(spark, d, "merges"))
+    rows = spread(read_table(spark, d, "documents").select("doc_id", "text").where("text is not null"))
+    ids = rows.select("doc_id", codec.encode("text", merges).alias("ids"))
+    return ids.select("doc_id", F.md5(codec.decode("ids", merges)).alias("digest"))
+
+
+@query("SELECT sum(strlen(text))::BIGINT AS tokens, sum(len(regexp_extract_all(text, '[^" + WS + "]+')))::BIGINT AS words, sum(length(text))::BIGINT AS chars FROM documents WHERE text IS NOT NULL")
+def byte_token_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").select("text", F.octet_length("text").alias("n"))
+    return corpus.tokenizer_stats(rows, "text", "n").select("tokens", "words", "chars")
+
+
+_TALK = f"SELECT dialogue_id, written_at, {_MESSAGES} AS m FROM shards WHERE text IS NOT NULL"
+
+
+@query(f"SELECT dialogue_id, written_at, 1 + coalesce(list_sum(list_transform(m, lambda x: 1 + strlen(x.content) + (x.role = 'assistant')::INTEGER)), 0)::BIGINT AS n_ids, coalesce(list_sum(list_transform(list_filter(m, lambda x: x.role = 'assistant'), lambda x: strlen(x.content) + 1)), 0)::BIGINT AS n_labels FROM ({_TALK})")
+def chat_training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the ids and of the labels that count of every dialogue as a training example, without merges."""
+    rows = spread(read_table(spark, d, "shards").select("dialogue_id", "written_at", "text").where("text is not null"))
+    done = rows.select("dialogue_id", "written_at", chat.encode_messages(dialogue.text_to_messages("text"), ()).alias("e"))
+    done = done.select("dialogue_id", "written_at", chat.chat_ids("e", False).alias("ids"), chat.chat_labels("e").alias("labels")).where(F.size("ids") == F.size("labels"))
+    return done.select("dialogue_id", "written_at", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_labels"))
+
+
+@query(f"WITH w AS (SELECT doc_id, unnest({_BYTES.format(w="text")}) AS id FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS n, count(label) AS known, coalesce(sum(label), 0)::BIGINT AS labels, sum(len(embedding))::BIGINT AS components FROM w LEFT JOIN (SELECT * FROM embeddings WHERE vec_id < 200) ON id = vec_id GROUP BY doc_id")
+def embedded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the bytes of every document, from a table that knows 200 of them."""
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", shards.byte_tokens("text").alias("ids"))
+    table = read_table(spark, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").cast("int").alias("token"), F.struct("embedding", "label").alias("vector"))
+    rows = embedding.embed_tokens(docs, table)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("vector.label").alias("known"), F.coalesce(F.sum("vector.label"), F.lit(0)).cast("long").alias("labels"), F.sum(F.size("vector.embedding").cast("long")).alias("components"))
+
+
+@query("WITH r AS (SELECT checkpoint, repetition_ratio, row_number() OVER (PARTITION BY checkpoint ORDER BY sample_id, reported_at) AS k FROM quality_report) SELECT checkpoint, round(coalesce(avg(repetition_ratio), 0.0), 9) AS loss, count(repetition_ratio) AS n FROM r WHERE k <= 50 GROUP BY checkpoint")
+def first_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the first 50 values of each checkpoint, a ratio standing in for a loss."""
+    rows = read_table(spark, d, "quality_report").select("checkpoint", "sample_id", "reported_at", "repetition_ratio")
+    return sizing.mean_loss(rows, ["checkpoint"], "repetition_ratio", ["sample_id", "reported_at"]).withColumn("loss", F.round("loss", 9))
+
+
+@query(f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE / 0.7) AS x FROM embeddings), p AS (SELECT vec_id, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM e), q AS (SELECT vec_id, list_sort(list_transform(e, lambda v, i: {{'n': -v / list_sum(e), 'i': i - 1}}))[1:10] AS r FROM p), s AS (SELECT vec_id, r, list_sum(list_transform(r, lambda y: -y.n)) AS total FROM q), u AS (SELECT vec_id, list_filter(r, lambda x, k: k = 1 OR list_sum(list_transform(r[1 : k - 1], lambda y: -y.n)) / total <= 0.9) AS t FROM s) SELECT vec_id, len(t)::BIGINT AS n, coalesce(list_filter(list_transform(t, lambda x, k: CASE WHEN list_sum(list_transform(t[1 : k], lambda y: -y.n)) > list_sum(list_transform(t, lambda y: -y.n)) * ((vec_id * 37 % 101) / 101.0::DOUBLE) THEN x.i END), lambda i: i IS NOT NULL)[1], t[-1].i)::INTEGER AS token FROM u".replace("len(t)::BIGINT AS n, ", ""))
+def sampled_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The next position of every vector of logits: temperature, the 10 largest, 90 % of the mass, and a draw from its id."""
+    draw = F.pmod(F.col("vec_id") * 37, F.lit(101)) / F.lit(101.0)
+    return read_table(spark, d, "embeddings").select("vec_id", logits.sample_token("embedding", None, draw, 0.7, 10, 0.9).alias("token"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = F.window("ts", "1 hour")
-    rows = read_table(spark, d, "events").groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
-    return rows.select("window.start", "event_type", "n", "value")
+    from lexloom.streaming.dialogues import windowed_counts
+
+    rows = windowed_counts(read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, sum(new)::BIGINT AS sessions, count(*) AS n FROM g GROUP BY user_id")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (F.col("ts") - F.lag("ts").over(w)) < F.expr("INTERVAL '30' MINUTE")
-    rows = read_table(spark, d, "events").withColumn("new", F.when(gap, 0).otherwise(1))
-    return rows.groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count(F.lit(1)).alias("n"))
+    from lexloom.streaming.dialogues import session_counts
+
+    rows = session_counts(read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")

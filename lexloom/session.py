@@ -48,10 +48,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether all executors are this machine."""
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset a temporary one serves a local master (tests); a cluster fails."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark, "_lexloom_shared", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="lexloom-shared")
@@ -66,7 +73,7 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def clean_up(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application; DataFrames that still read them must have been used by then."""
+    """Delete the intermediate tables of this application; DataFrames that still read them must have been used by then. Call it before the session stops."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -88,10 +95,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core that an input is spread over all cores at most; larger inputs have splits enough.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Use all cores where the input has fewer partitions than that (one small file); large inputs pass unshuffled."""
+    """Use all cores for a small input that may be one file with one row group; what is shuffled is at most ``SPREAD_BYTES`` a core.
+
+    The size is that of the sources, as the planner knows it. Larger inputs pass unshuffled: Spark splits their files by size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    if files >= cores:
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size > cores * SPREAD_BYTES:
         return df
     return df.repartition(cores, *cols) if cols else df.repartition(cores)

@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lexloom.functions.clean import strip, titled_document
@@ -93,6 +94,7 @@ PRESETS: dict[str, tuple[Callable[[DataFrame], Column], float]] = {
     "encyclopedia_ru": (lambda df: titled_document(df["title"], df["text"]), 1.0),
     "encyclopedia_en": (lambda df: titled_document(df["title"], df["text"]), 1.0),
     "plain": (lambda df: df["text"], 0.15),
+    "persona_dialogues": (lambda df: persona_dialogue(*[df[c] for c in ("utterances", "dialog", "turns", "history")]), 1.0),
 }
 
 
@@ -104,15 +106,14 @@ def read_preset(spark: SparkSession, name: str, path: str, max_rows: int | None
 
 
 def read_presets(spark: SparkSession, paths: dict[str, str], max_rows: int) -> DataFrame:
-    """``text, preset`` of several sources, each within its quota. A source that cannot be read gives no rows."""
+    """``text, preset`` of several sources, each within its quota. A source whose path does not exist gives no rows; any other fault is raised."""
     parts = []
     for name, path in paths.items():
         try:
             parts.append(read_preset(spark, name, path, max_rows).withColumn("preset", F.lit(name)))
-        except ValueError:
-            raise
-        except Exception:  # noqa: BLE001 - a missing path shows itself when the schema is read
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "text string, preset string")
 
 
@@ -145,6 +146,19 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "uint16") -> D
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), unpack("content").alias("tokens"))
 
 
+def read_shard_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """``position, file, tokens`` of the shards a folder's manifest names, in its order; files it does not name are not read.
+
+    The manifest is one small JSON file; sizes that differ from it fail."""
+    rows = spark.read.option("multiLine", True).json(f"{path}/shards_manifest.json").select("dtype", F.posexplode("shards").alias("position", "s")).select("dtype", "position", "s.*")
+    head = rows.limit(1).collect()
+    listed = rows.select("position", "file", F.col("tokens").alias("_n"))
+    found = read_token_files(spark, path, head[0].dtype if head else "uint16")
+    both = listed.join(found, "file", "left")
+    ok = F.col("_n") == F.size("tokens")
+    return both.select("position", "file", F.when(ok, F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("missing or cut: "), F.col("file"))).cast("array<int>")).alias("tokens"))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """``file, bytes, sha256`` of all files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

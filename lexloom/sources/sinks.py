@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.dialogue import text_to_messages, trainable
 from lexloom.operators.prefix import prefix_sum
 from lexloom.operators.shards import shard_manifest, token_shards
+from lexloom.session import is_local, materialize, shared_dir
 from lexloom.tokenizer.codec import encode
 from lexloom.tokenizer.vocab import Merges, vocab_document
 
@@ -41,20 +42,31 @@ def write_token_shards(df: DataFrame, path: str, merges: Merges, vocab_size: int
 
 
 def write_token_files(shards: DataFrame, path: str, vocab_size: int) -> DataFrame:
-    """Raw token files, one per shard, written by the executors; returns ``file, tokens`` (sizes). ``path`` must be a folder all executors share."""
+    """Raw token files, one per shard, written by the executors; returns ``file, tokens`` (sizes).
+
+    ``path`` is a URI of a file system the executors share (hdfs, s3, gs, ...). A plain path is taken only with a local master or below the
+    shared folder of the session, as it would land on the executors' own disks."""
     kind = "<u2" if vocab_size <= 65535 else "<u4"
+    spark = shards.sparkSession
+    bare = path.removeprefix("file://")
+    if bare.startswith("/") and not is_local(spark) and not bare.startswith(shared_dir(spark).removeprefix("file://")):
+        raise ValueError(f"{path} is on each executor's own disk; use a shared file system")
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+        import uuid
+
+        from pyarrow import fs
 
-        os.makedirs(path, exist_ok=True)
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(root, recursive=True)
         for pdf in batches:
             rows = []
             for shard, tokens in zip(pdf["shard"], pdf["tokens"]):
                 name = f"shard_{shard:05d}.bin"
-                part = os.path.join(path, f".{name}.{os.getpid()}")
-                np.asarray(tokens).astype(kind).tofile(part)
-                os.replace(part, os.path.join(path, name))  # a task that is run again leaves the same file
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(np.asarray(tokens).astype(kind).tobytes())
+                store.move(part, f"{root}/{name}")  # a task that is run again leaves the same file
                 rows.append((name, len(tokens)))
             yield pd.DataFrame(rows, columns=["file", "tokens"])
 
@@ -98,6 +110,20 @@ def read_tokenizer(spark, path: str) -> Merges:
     return tuple((a, b) for a, b in json.loads(text))
 
 
+def ensure_tokenizer(spark, path: str) -> Merges:
+    """The merges of a stored tokenizer. Tokenizers are never trained here: where none is stored, this fails and says so."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/merges.json")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        raise FileNotFoundError(f"no tokenizer at {path}; store one with write_tokenizer")
+    return read_tokenizer(spark, path)
+
+
+#: Rows of a report that are written as one file.
+REPORT_ROWS = 100_000
+
+
 def write_report(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    """A small result as one JSON-lines file."""
-    (df.select(*columns) if columns else df).coalesce(1).write.mode("overwrite").json(path)
+    """A result as JSON lines: one file up to ``REPORT_ROWS`` rows, one per partition beyond."""
+    rows = materialize(df.select(*columns) if columns else df, "report")
+    small = rows.limit(REPORT_ROWS + 1).count() <= REPORT_ROWS
+    (rows.coalesce(1) if small else rows).write.mode("overwrite").json(path)

@@ -70,6 +70,16 @@ def dialogues(spark: SparkSession, n: int, seed: int = 0, partitions: int | None
     return spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism).mapInPandas(make, DIALOGUE)
 
 
+def sft_messages(spark: SparkSession, n: int, seed: int = 0, extra: DataFrame | None = None) -> DataFrame:
+    """``messages`` of ``n`` synthetic dialogues and of the dialogues (column ``text``) of another source, if they have two messages or more."""
+    from lexloom.functions.dialogue import text_to_messages
+
+    texts = dialogues(spark, n, seed).select("text")
+    if extra is not None:
+        texts = texts.unionByName(extra.select("text"))
+    return texts.select(text_to_messages("text").alias("messages")).where(F.size("messages") >= 2)
+
+
 # Kinds of seed documents and their shares.
 SEED_KINDS = (("prose", 0.40), ("dialogue", 0.35), ("instruction", 0.10), ("code", 0.05), ("math", 0.10))
 

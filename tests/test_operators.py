@@ -95,15 +95,67 @@ def test_template_cap_and_stages(spark):
 
 
 def test_bloom(spark):
-    bloom = dedup.BloomFilter(1000, 0.01)
-    for i in range(500):
-        bloom.add(str(i))
-    assert all(str(i) in bloom for i in range(500)) and sum(str(i) in bloom for i in range(1000, 3000)) < 40
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 30_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bloom = dedup.BloomFilter(10_000, 0.01)
+    bloom.add(x[:10_000])
+    assert bloom.contains(x[:10_000]).all() and bloom.contains(x[10_000:]).mean() < 0.02
     df = spark.createDataFrame([(str(i),) for i in range(20)] + [(None,)], "v string")
-    left = {r.v for r in dedup.bloom_anti_join(df, df.where("v < '15'"), "v", capacity=100).collect()}
-    assert "0" not in left and None in left and "9" in left
-    exact = {r.v for r in dedup.bloom_anti_join(df, df.where("v < '15'"), "v", capacity=2).collect()}
-    assert exact == left
+    for error in (0.001, 0.9):  # the result is exact whatever the filter lets through
+        left = sorted(str(r.v) for r in dedup.bloom_anti_join(df, df.where("v < '15'"), "v", error).collect())
+        assert left == sorted([str(i) for i in range(20) if not str(i) < "15"] + ["None"])
+    built = dedup.bloom_filter(spark.range(200_000).select(F.col("id").alias("v")))
+    assert len(built.words) > dedup.BLOOM_PART or built.words.any()
+    hashes = np.array([r.h for r in spark.range(500).select(F.xxhash64(F.col("id").cast("string")).alias("h")).collect()], np.int64).view(np.uint64)
+    assert built.contains(hashes).all()
+
+
+def test_conversation_fold(spark):
+    """The rounds against a pass over the dialogues one by one."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(12)]
+    rows = []
+    for i in range(1, 90):
+        t = rng.choice(texts).split()
+        if rng.random() < 0.5:
+            t[rng.randrange(80)] = rng.choice(words)
+        rows.append((i, " ".join(t), rng.choice([["hot"], ["hot"], ["a"], ["b"], [], None])))
+    df = spark.createDataFrame(rows, "dialogue_id long, text string, signature array<string>")
+    once = dedup.exact_dedup(df, order_col="dialogue_id")
+    linked = {(r.a, r.b) for r in dedup.minhash_pairs(once, id_col="dialogue_id", threshold=0.8).collect()}
+    first = {}
+    for i, t, _ in rows:
+        first.setdefault(t, i)
+    kept, want, counts = {}, {}, {}
+    for i, t, s in rows:
+        key = tuple(s) if s else None
+        if t in kept:
+            want[i] = "exact"
+        elif key and counts.get(key, 0) >= 2:
+            want[i] = "template"
+        elif any(tuple(sorted((first[t], first[u]))) in linked for u in kept):
+            want[i] = "near"
+        else:
+            kept[t] = i
+            if key:
+                counts[key] = counts.get(key, 0) + 1
+            want[i] = None
+    got = {r.id: r.reason for r in dedup.conversation_dedup(df, cap=2, threshold=0.8).collect()}
+    assert got == want and {"exact", "near", "template"} <= set(want.values())
+
+
+def test_long_chain_of_links(spark):
+    pairs = [(i, i + 1) for i in range(1, 12)]
+    assert {r.id for r in dedup.greedy_keep(spark.createDataFrame(pairs, "a long, b long")).collect()} == {2, 4, 6, 8, 10, 12}
+
+
+def test_byte_tokens(spark):
+    texts = [None, "", "aé", "привет", None, "x" * 3000, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    got = {r.i: r.ids for r in df.select("i", shards.byte_tokens("text").alias("ids")).collect()}
+    assert got == {i: None if t is None else list(t.encode()) for i, t in enumerate(texts)}
+    assert df.limit(0).select(shards.byte_tokens("text")).count() == 0 and df.where("text is null").select(shards.byte_tokens("text").alias("x")).first().x is None
 
 
 def test_shards_and_windows(spark):
@@ -148,6 +200,15 @@ def test_pairs(spark):
     assert tuple(corpus.best_pair(pairs).first()) == (97, 98, 3)
     x = spark.createDataFrame([([1, 1, 1, 2],)], "ids array<int>")
     assert x.select(corpus.merge_pair("ids", 1, 1, 9).alias("x")).first().x == [9, 1, 2]
+    rng = random.Random(5)
+    for _ in range(200):
+        ids, (a, b) = [rng.randrange(3) for _ in range(rng.randrange(12))], (rng.randrange(3), rng.randrange(3))
+        want, i = [], 0
+        while i < len(ids):
+            pair = ids[i : i + 2] == [a, b]
+            want.append(9 if pair else ids[i])
+            i += 2 if pair else 1
+        assert corpus._merge(np.array(ids, int), a, b, 9).tolist() == want
     stats = corpus.tokenizer_stats(spark.createDataFrame([("a b", 3), (None, 0)], "text string, n int"), "text", "n").first()
     assert (stats.tokens, stats.words, stats.chars, stats.tokens_per_word) == (3, 2, 3, 1.5)
 

@@ -1,7 +1,8 @@
 """A bidirectional gated recurrent network over bytes in numpy, trained by backpropagation through time.
 
-Every byte position of a sequence gets a distribution over the labels. Sequences of one length are processed together, so there is no
-padding.
+Every byte position of a sequence gets a distribution over the labels. Gates and states are piecewise linear (clipped sums) instead of sigmoid and tanh: on
+a CPU that is most of the time. Arrays are laid out by feature, then by sequence, so that every step works on whole blocks. Shorter sequences are
+padded at their end; the state stays zero there, so what a sequence gets does not depend on the others beside it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import glob
 import os
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
@@ -16,10 +18,6 @@ import numpy as np
 F32 = np.float32
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 @contextmanager
 def one_thread():
     """Small matrices are multiplied faster by one thread: numpy's own OpenBLAS, where it is one, is held to that for a while."""
@@ -43,113 +41,119 @@ def one_thread():
 
 
 class ByteGRU:
-    """``W``: what a byte adds to the gates; ``U``: what the state adds; ``V``: from both directions' states to the labels."""
+    """``W``: what a byte adds to the gates; ``U``: what the state adds; ``b``: their offsets; ``V``, ``c``: from both directions' states to the labels."""
 
-    def __init__(self, labels: int, hidden: int = 24, seed: int = 0) -> None:
+    def __init__(self, labels: int, hidden: int = 16, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
         h = hidden
         self.hidden, self.labels = h, labels
         self.p = {"V": rng.normal(0, (2 * h) ** -0.5, (2 * h, labels)).astype(F32), "c": np.zeros(labels, F32)}
         for d in "fb":
-            self.p |= {"W" + d: rng.normal(0, 0.4, (256, 3 * h)).astype(F32), "U" + d: rng.normal(0, h**-0.5, (h, 3 * h)).astype(F32), "b" + d: np.zeros(3 * h, F32)}
+            offsets = np.r_[np.full(2 * h, 0.5), np.zeros(h)].astype(F32)
+            self.p |= {"W" + d: rng.normal(0, 0.15, (256, 3 * h)).astype(F32), "U" + d: rng.normal(0, 0.4 * h**-0.5, (h, 3 * h)).astype(F32), "b" + d: offsets}
 
-    def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States (T, B, H) of one direction for bytes (T, B), and what the backward pass needs."""
-        h, u = self.hidden, self.p["U" + d]
-        gates = self.p["W" + d][x] + self.p["b" + d]
-        state = np.zeros((x.shape[1], h), F32)
-        states, kept = np.empty((*x.shape, h), F32), []
-        for t in range(len(x)):
-            g, gh = gates[t], state @ u
-            zr = _sigmoid(g[:, : 2 * h] + gh[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(g[:, 2 * h :] + r * gh[:, 2 * h :])
-            kept.append((state, z, r, n, gh[:, 2 * h :]))
-            state = n + z * (state - n)
-            states[t] = state
-        return states, kept
-
-    def log_probs(self, x: np.ndarray) -> np.ndarray:
-        """(T, B, labels) for bytes (T, B)."""
-        f, _ = self._run(x, "f")
-        b, _ = self._run(x[::-1], "b")
-        return self._out(f, b[::-1])
+    def _run(self, x: np.ndarray, live: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
+        """States (T, H, B) of one direction for bytes (T, B) in its order; what the backward pass needs goes to ``kept``."""
+        h, (steps, batch) = self.hidden, x.shape
+        kind = self.p["V"].dtype
+        table, u = np.ascontiguousarray((self.p["W" + d] + self.p["b" + d]).T), np.ascontiguousarray(self.p["U" + d].T)
+        every = live.all(1)
+        state = np.zeros((h, batch), kind)
+        states = np.empty((steps, h, batch), kind)
+        gates, both = np.empty((3 * h, batch), kind), np.empty((3 * h, batch), kind)
+        for t in range(steps):
+            if kept is not None:
+                gates, both = np.empty_like(gates), np.empty_like(both)
+            np.take(table, x[t], axis=1, out=gates, mode="clip")
+            np.dot(u, state, out=both)
+            zr, n = gates[: 2 * h], gates[2 * h :]
+            zr += both[: 2 * h]
+            np.maximum(zr, 0, out=zr)
+            np.minimum(zr, 1, out=zr)
+            n += zr[h:] * both[2 * h :]
+            np.maximum(n, -1, out=n)
+            np.minimum(n, 1, out=n)
+            if kept is not None:
+                kept.append((state, gates, both[2 * h :]))
+            new = states[t]
+            np.subtract(state, n, out=new)
+            new *= zr[:h]
+            new += n
+            if not every[t]:
+                new *= live[t]
+            state = new
+        return states
 
     def _out(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
         h = self.hidden
-        o = f @ self.p["V"][:h] + b @ self.p["V"][h:] + self.p["c"]
-        o -= o.max(-1, keepdims=True)
-        return o - np.log(np.exp(o).sum(-1, keepdims=True))
-
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and its gradients for bytes (T, B) and a label distribution (B, labels) that holds at every position."""
-        h, (steps, batch) = self.hidden, x.shape
-        f, kf = self._run(x, "f")
-        b, kb = self._run(x[::-1], "b")
-        b = b[::-1]
+        o = np.matmul(self.p["V"][:h].T, f)
+        o += np.matmul(self.p["V"][h:].T, b)
+        o += self.p["c"][:, None]
+        o -= o.max(1, keepdims=True)
+        return o - np.log(np.exp(o).sum(1, keepdims=True))
+
+    def log_probs(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """(T, labels, B) for bytes (T, B) of which those where ``live`` is set belong to the sequences."""
+        return self._out(self._run(x, live, "f"), self._run(x[::-1], live[::-1], "b")[::-1])
+
+    def gradients(self, x: np.ndarray, live: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and its gradients for bytes (T, B), the weight of each position (T, B; 0 for padding) and a label distribution (labels, B)."""
+        h = self.hidden
+        kept_f, kept_b = [], []
+        f, b = self._run(x, live, "f", kept_f), self._run(x[::-1], live[::-1], "b", kept_b)[::-1]
         logp = self._out(f, b)
-        loss = -float((logp * y).sum()) / (steps * batch)
-        d_out = (np.exp(logp) - y) / F32(steps * batch)
-        flat = d_out.reshape(-1, self.labels)
-        g = {"V": np.vstack([f.reshape(-1, h).T @ flat, b.reshape(-1, h).T @ flat]), "c": flat.sum(0)}
-        self._back(x, "f", kf, d_out @ self.p["V"][:h].T, g)
-        self._back(x[::-1], "b", kb, (d_out @ self.p["V"][h:].T)[::-1], g)
+        w = (weight / max(weight.sum(), 1e-9)).astype(logp.dtype)[:, None, :]
+        loss = -float((logp * y * w).sum())
+        d_out = (np.exp(logp) - y) * w
+        flat = lambda q: q.transpose(1, 0, 2).reshape(q.shape[1], -1)
+        o = flat(d_out)
+        g = {"V": np.vstack([flat(f) @ o.T, flat(b) @ o.T]), "c": o.sum(1)}
+        self._back(x, live, "f", kept_f, np.matmul(self.p["V"][:h], d_out), g)
+        self._back(x[::-1], live[::-1], "b", kept_b, np.matmul(self.p["V"][h:], d_out)[::-1], g)
         return loss, g
 
-    def _back(self, x: np.ndarray, d: str, kept: list, d_states: np.ndarray, g: dict) -> None:
+    def _back(self, x: np.ndarray, live: np.ndarray, d: str, kept: list, d_states: np.ndarray, g: dict) -> None:
         h, u = self.hidden, self.p["U" + d]
-        d_gates = np.empty((*x.shape, 3 * h), F32)
+        steps, batch = x.shape
+        d_gates = np.empty((steps, 3 * h, batch), u.dtype)
         du = np.zeros_like(u)
-        carry = np.zeros((x.shape[1], h), F32)
-        for t in range(len(x) - 1, -1, -1):
-            state, z, r, n, ghn = kept[t]
-            ds = d_states[t] + carry
-            dn = ds * (1 - z) * (1 - n * n)
-            dz = ds * (state - n) * z * (1 - z)
-            dr = dn * ghn * r * (1 - r)
+        carry = np.zeros((h, batch), u.dtype)
+        for t in range(steps - 1, -1, -1):
+            state, gates, from_state = kept[t]
+            z, r, n = gates[:h], gates[h : 2 * h], gates[2 * h :]
+            ds = (d_states[t] + carry) * live[t]
             own = d_gates[t]
-            own[:, :h], own[:, h : 2 * h], own[:, 2 * h :] = dz, dr, dn
-            dgh = np.concatenate([dz, dr, dn * r], 1)
-            du += state.T @ dgh
-            carry = ds * z + dgh @ u.T
-        flat = x.ravel()
-        rows = d_gates.reshape(-1, 3 * h)
-        used, back = np.unique(flat, return_inverse=True)
-        hot = np.zeros((len(used), len(flat)), F32)
-        hot[back, np.arange(len(flat))] = 1
+            own[:h] = ds * (state - n) * ((z > 0) & (z < 1))
+            own[2 * h :] = ds * (1 - z) * (np.abs(n) < 1)
+            own[h : 2 * h] = own[2 * h :] * from_state * ((r > 0) & (r < 1))
+            back = own.copy()
+            back[2 * h :] *= r
+            du += state @ back.T
+            carry = ds * z + u @ back
+        rows = d_gates.transpose(0, 2, 1).reshape(-1, 3 * h)
+        used, at = np.unique(x.ravel(), return_inverse=True)
+        hot = np.zeros((len(used), rows.shape[0]), u.dtype)
+        hot[at.ravel(), np.arange(rows.shape[0])] = 1
         dw = np.zeros_like(self.p["W" + d])
         dw[used] = hot @ rows
         g["W" + d], g["U" + d], g["b" + d] = dw, du, rows.sum(0)
 
 
-def train(words: list[bytes], targets: np.ndarray, weights: np.ndarray, steps: int = 500, batch: int = 256, hidden: int = 24, rate: float = 0.012, seed: int = 0) -> ByteGRU:
-    """Fit a network to label distributions of byte strings, drawn by weight, with Adam and a falling rate."""
+def train(draw: Callable[[np.random.Generator], tuple], labels: int, steps: int = 500, hidden: int = 16, rate: float = 0.01, seed: int = 0) -> ByteGRU:
+    """Fit a network to batches ``(bytes, live, weight, labels)`` that ``draw`` makes, with Adam and a falling rate."""
     with one_thread():
-        return _train(words, targets, weights, steps, batch, hidden, rate, seed)
-
-
-def _train(words: list[bytes], targets: np.ndarray, weights: np.ndarray, steps: int, batch: int, hidden: int, rate: float, seed: int) -> ByteGRU:
-    net = ByteGRU(targets.shape[1], hidden, seed)
-    rng = np.random.default_rng(seed + 1)
-    lengths = np.array([len(w) for w in words])
-    groups = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
-    bytes_of = {n: np.frombuffer(b"".join(words[i] for i in at), np.uint8).reshape(len(at), n) for n, at in groups.items()}
-    mass = np.array([weights[at].sum() for at in groups.values()])
-    choices = {n: weights[at] / weights[at].sum() for n, at in groups.items()}
-    names = list(groups)
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    for step in range(1, steps + 1):
-        n = names[rng.choice(len(names), p=mass / mass.sum())]
-        at = rng.choice(len(groups[n]), batch, p=choices[n])
-        x = bytes_of[n][at].T.astype(np.int64)
-        _, g = net.gradients(x, targets[groups[n][at]].astype(F32))
-        norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
-        lr = rate * min(1.0, step / 30) * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps)))
-        for k, q in g.items():
-            q = q * F32(scale)
-            m[k] += F32(0.1) * (q - m[k])
-            v[k] += F32(0.01) * (q * q - v[k])
-            net.p[k] -= F32(lr) * (m[k] / F32(1 - 0.9**step)) / (np.sqrt(v[k] / F32(1 - 0.99**step)) + F32(1e-6))
-    return net
+        net = ByteGRU(labels, hidden, seed)
+        rng = np.random.default_rng(seed + 1)
+        m = {k: np.zeros_like(v) for k, v in net.p.items()}
+        v = {k: np.zeros_like(x) for k, x in net.p.items()}
+        for step in range(1, steps + 1):
+            _, g = net.gradients(*draw(rng))
+            norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
+            scale = min(1.0, 1.0 / (norm + 1e-9))
+            lr = rate * min(1.0, step / 30) * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps)))
+            for k, q in g.items():
+                q = q * F32(scale)
+                m[k] += F32(0.1) * (q - m[k])
+                v[k] += F32(0.01) * (q * q - v[k])
+                net.p[k] -= F32(lr) * (m[k] / F32(1 - 0.9**step)) / (np.sqrt(v[k] / F32(1 - 0.99**step)) + F32(1e-6))
+        return net

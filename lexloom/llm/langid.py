@@ -1,19 +1,19 @@
 """Languages of documents and of one-language segments.
 
-A bidirectional recurrent network over bytes labels every position of a word; the positions are pooled to the word, the words to
-sentences, the sentences to the document. The network sees a word at a time, so each distinct word is evaluated once per Python
-worker, whatever the size of the corpus; what single words leave open the pooling decides. Look-alike letters and invisible characters are
-resolved before, so the script a language is written in and disguised spellings don't matter.
+A bidirectional recurrent network reads each sentence as one sequence of bytes, across its words, and labels every position; the positions are pooled to
+the sentence (each word with the same weight), the sentences to the document, whose segments are the runs of sentences in one language. Sentences longer than a
+window are read in overlapping windows. Look-alike letters and invisible characters are resolved before, so the script a language is written in and
+disguised spellings don't matter.
 
-The network is trained where it is used, on a bounded sample of labelled records. Their labels are noisy: sentences whose words
-contradict the record's label are left out first.
+The network is trained where it is used, once per application and sample, on a bounded sample of labelled records. Their labels are noisy: sentences whose
+words contradict the record's label are left out first.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,18 +22,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.confusables import _character_map, normalizer
-from lexloom.llm.gru import ByteGRU, train
+from lexloom.llm.gru import ByteGRU, one_thread, train
 from lexloom.llm.pair_defects import FUNCTION_WORDS
 
 LANGS = ("ru", "en", "uk", "de", "fr", "es")
 MIXED = "mixed"
 #: Labelled records per language the network is trained on.
 TRAIN_PER_LANG = 700
-TRAIN_STEPS = 2000
-#: How much more likely (in nats) a sentence must be in another language than the rest, to make its record mixed.
-FOREIGN_MARGIN = 2.5
-#: Bytes of a word that are evaluated at once; longer runs of letters are cut into pieces, none is dropped.
-PIECE = 48
+TRAIN_STEPS = 800
+#: Sequences of a training batch and their bytes at most.
+TRAIN_BATCH, TRAIN_BYTES = 128, 72
+#: How much more likely (in nats) a sentence must be in another language than the rest, to make its record mixed; one of a single word by the second.
+FOREIGN_MARGIN, WORD_MARGIN = 6.0, 4.0
+#: Bytes of a sentence that are read as one sequence. Longer ones are read in windows that overlap by twice ``CONTEXT`` bytes; every position counts once.
+WINDOW, CONTEXT = 256, 32
+#: Positions evaluated at once.
+CELLS = 1 << 18
 
 # Spellings of a language in records.
 SPELLINGS = {
@@ -55,6 +59,9 @@ ROMAN_OTHER = {"й": "j", "х": "h", "ц": "c", "ю": "ju", "я": "ja", "щ": "s
 ROMAN_UK = {"г": "h", "ґ": "g", "и": "y", "і": "i", "ї": "yi", "є": "ye", "'": "", "’": ""}
 _TABLES = [("ru", str.maketrans(ROMAN)), ("ru", str.maketrans(ROMAN | ROMAN_OTHER)), ("uk", str.maketrans(ROMAN | ROMAN_UK)), ("uk", str.maketrans(ROMAN | ROMAN_OTHER | ROMAN_UK | {"ї": "i", "є": "ie"}))]
 
+# Abbreviations that end in a stop within a sentence.
+ABBREVIATIONS = frozenset("см ср г гг в вв т тт п пп д др пр ул рис стр табл гл им св руб коп тыс млн млрд mr mrs ms dr st vs no nr p pp fig ca bzw z d h b u a etc e g i cf m mme mlle sr sra ud uds pág págs núm ej art vol".split())
+
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 _SPECIAL = re.compile(r"[^\x00-\x7fÀ-ɏЀ-ӿ‐-‟…«»№–—]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
@@ -71,7 +78,7 @@ def recorded(lang: Column) -> Column:
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences and lines. A short word with a stop (an abbreviation) belongs to what follows it."""
+    """Sentences and lines. An abbreviation or initial alone with its stop belongs to what follows it."""
     out: list[str] = []
     joined = False
     for s in _SENTENCE.split(_clean(text)):
@@ -81,7 +88,8 @@ def sentences(text: str) -> list[str]:
             out[-1] += " " + s
         else:
             out.append(s)
-        joined = len(out[-1]) <= 6 and out[-1].endswith(".")
+        bare = out[-1].strip("([«\"' ").removesuffix(".").lower() if len(out[-1]) <= 8 and out[-1].endswith(".") else ""
+        joined = len(bare) == 1 or bare in ABBREVIATIONS
     return out
 
 
@@ -111,58 +119,80 @@ def _surface(word: str) -> str:
     return word.lower()
 
 
+def windows(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``unit, first, length, low, high`` of the windows of units at ``starts`` in a long byte string; positions from low to high count."""
+    long = np.flatnonzero(sizes > WINDOW)
+    if not len(long):
+        return np.arange(len(sizes)), starts, sizes, starts, starts + sizes
+    step = WINDOW - 2 * CONTEXT
+    n = np.where(sizes > WINDOW, -(-sizes // step), 1)
+    unit = np.repeat(np.arange(len(sizes)), n)
+    k = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+    many = n[unit] > 1
+    end = starts[unit] + sizes[unit]
+    low = np.where(many, starts[unit] + k * step, starts[unit])
+    high = np.where(many, np.minimum(low + step, end), end)
+    first, last = np.maximum(low - CONTEXT * many, starts[unit]), np.minimum(high + CONTEXT * many, end)
+    return unit, first, last - first, low, high
+
+
 class Scorer:
-    """Log-probabilities of the languages for words, kept for the words seen; emptied when full."""
+    """Log-probabilities of the languages for sentences given as words."""
 
-    LIMIT = 400_000
+    #: Surfaces of words kept; emptied when full. Longer words are not kept.
+    LIMIT, LENGTH = 400_000, 64
 
     def __init__(self, net: ByteGRU) -> None:
         self.net = net
-        self.at: dict[str, int] = {}
-        self.kept = 0  # characters of the words
-        self.rows = np.zeros((1 << 12, len(LANGS)), np.float32)
-
-    def indices(self, words: list[str]) -> np.ndarray:
-        at = self.at
-        try:
-            return np.array([at[w] for w in words], np.int64)
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in at})
-        if len(at) + len(new) > self.LIMIT or self.kept > self.LIMIT * 40:
-            at.clear()
-            self.kept = 0
-            new = list(set(words))
-        self.kept += sum(map(len, new))
-        self._learn(new)
-        return np.array([at[w] for w in words], np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        first = len(self.at)
-        while first + len(words) > len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        pieces: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        count = np.zeros(len(words), np.float32)
-        for i, w in enumerate(words):
-            raw = _surface(w).encode("utf-8", "replace")
-            for k in range(0, len(raw), PIECE):
-                part = raw[k : k + PIECE]
-                pieces[len(part)].append((i, part))
-                count[i] += len(part)
-            self.at[w] = first + i
-        out = np.zeros((len(words), len(LANGS)), np.float32)
-        for n, rows in pieces.items():
-            for k in range(0, len(rows), 2048):
-                chunk = rows[k : k + 2048]
-                x = np.frombuffer(b"".join(p for _, p in chunk), np.uint8).reshape(len(chunk), n).T.astype(np.int64)
-                np.add.at(out, [i for i, _ in chunk], self.net.log_probs(x).sum(0))
-        self.rows[first : first + len(words)] = out / np.maximum(count, 1)[:, None]
+        self.known: dict[str, bytes] = {}
+
+    def _bytes(self, word: str) -> bytes:
+        raw = _surface(word).encode("utf-8", "replace")
+        if len(self.known) >= self.LIMIT:
+            self.known.clear()
+        if len(word) <= self.LENGTH:
+            self.known[word] = raw
+        return raw
 
     def score(self, units: list[list[str]]) -> np.ndarray:
-        """Summed log-probabilities per unit (a sentence given as its words); no unit may be empty."""
-        sizes = [len(u) for u in units]
-        idx = self.indices([w for u in units for w in u])
-        return np.add.reduceat(self.rows[idx], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        """Per unit the sum over its words of the mean log-probabilities of their bytes; no unit may be empty."""
+        known = self.known
+        parts = [known.get(w) or self._bytes(w) for u in units for w in u]
+        out = np.zeros((len(units), len(LANGS)))
+        with one_thread():
+            for unit, x, live, weight in batches(parts, [len(u) for u in units], CELLS):
+                logp = self.net.log_probs(x, live)
+                logp *= weight[:, None, :]
+                np.add.at(out, unit, logp.sum(0).T)
+        return out
+
+
+def batches(parts: list[bytes], counts: list[int], cells: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``unit, bytes (T, B), live, weight`` of sentences given as the bytes of their words and their numbers of words, those of like length together.
+
+    A word's bytes share a weight of 1, the blanks between words have none."""
+    size = np.array([len(p) for p in parts], np.int64)
+    flat = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+    weight = np.repeat(1 / np.maximum(size, 1), size + 1).astype(np.float32)
+    ends = np.cumsum(size + 1)
+    weight[ends - 1] = 0
+    last = np.cumsum(counts) - 1
+    first = np.r_[0, last[:-1] + 1]
+    starts = ends[first] - size[first] - 1
+    unit, at, length, low, high = windows(starts, ends[last] - 1 - starts)
+    order = np.argsort(length, kind="stable")
+    k = 0
+    while k < len(order):
+        # Ascending lengths: the last of a batch is its longest.
+        n = max(1, min(len(order) - k, 4096, cells // max(1, int(length[order[k]]))))
+        while n > 1 and n * int(length[order[k + n - 1]]) > cells:
+            n = max(1, n * 3 // 4)
+        w = order[k : k + n]
+        k += n
+        steps = np.arange(int(length[w[-1]]))[:, None]
+        live = steps < length[w]
+        idx = np.minimum(at[w] + steps, len(flat) - 1)
+        yield unit[w], np.where(live, flat[idx], 0), live, np.where(live & (idx >= low[w]) & (idx < high[w]), weight[idx], 0)
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -179,7 +209,7 @@ def decide(scores: np.ndarray, sizes: np.ndarray) -> tuple[str, float, list[tupl
     main = int(total.argmax())
     own = scores.argmax(1)
     lead = scores[np.arange(len(own)), own] - scores[:, main]
-    stands = (own != main) & (lead > FOREIGN_MARGIN) & (sizes >= 2)
+    stands = (own != main) & (lead > np.where(sizes == 1, WORD_MARGIN, FOREIGN_MARGIN))
     if not stands.any():
         conf = float(_softmax(total / max(1.0, sizes.sum() ** 0.5))[main])
         return LANGS[main], conf, [(LANGS[main], conf, 0, len(own) - 1)]
@@ -199,11 +229,11 @@ def decide(scores: np.ndarray, sizes: np.ndarray) -> tuple[str, float, list[tupl
     return MIXED, float(min(s[1] for s in segments)), segments
 
 
-def training_words(rows: list[tuple[str, str]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Byte strings, label distributions and weights from records (label, text) whose labels may be wrong.
+def training_sentences(rows: list[tuple[str, str]]) -> list[tuple[int, list[str]]]:
+    """Sentences (label, words) from records (label, text) whose labels may be wrong.
 
-    Word counts of all records give a first estimate; sentences whose words contradict their record's label are left out, twice. A list of
-    function words per language is always part of the counts, so that few or no records still give a network."""
+    Word counts of all records give a first estimate; sentences whose words contradict their record's label are left out, repeatedly. Runs of function
+    words of each language are always there, so that few or no records still give a network."""
     data = []
     surface = lru_cache(None)(_surface)  # the sample is bounded, and so are its words
     for lang, text in rows:
@@ -211,46 +241,63 @@ def training_words(rows: list[tuple[str, str]]) -> tuple[list[bytes], np.ndarray
             words = [surface(w) for w in words_of(s)]
             if len(words) >= 2:
                 data.append((LANGS.index(lang), words))
-    base: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGS)))
-    for k, lang in enumerate(LANGS):
-        for w in FUNCTION_WORDS[lang].split():
-            base[w][k] += 2.0
-
-    def counts(keep: list[tuple[int, list[str]]]) -> dict[str, np.ndarray]:
-        c = defaultdict(lambda: np.zeros(len(LANGS)))
-        for w, x in base.items():
-            c[w] = x.copy()
-        for k, words in keep:
+    base = [(k, FUNCTION_WORDS[lang].split()) for k, lang in enumerate(LANGS)]
+    kept = data
+    for _ in range(4):
+        c: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGS)))
+        for k, words in base:
+            for w in words:
+                c[w][k] += 2.0
+        for k, words in kept:
             for w in words:
                 c[w][k] += 1
-        return c
-
-    kept = data
-    c = counts(kept)
-    for _ in range(3):
         mass = np.maximum(sum(c.values()), 1.0)
         scored = {w: np.log((x + 0.05) / mass) for w, x in c.items()}
         zero = np.log(0.05 / mass)
-        kept = [(k, words) for k, words in data if (s := sum(scored.get(w, zero) for w in words)).argmax() == k]
-        c = counts(kept)
-    mass = np.maximum(sum(c.values()), 1.0)
-    total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGS)))
-    for w, x in c.items():
-        share = x / mass
-        total[w] += share
-        for lang, table in _TABLES:  # the same words written in Latin letters
-            k = LANGS.index(lang)
-            if share[k] > 0 and (roman := w.translate(table)) != w and roman:
-                total[roman][k] += 0.1 * share[k]
-    words, targets, weights = [], [], []
-    for w, x in total.items():
-        raw = w.encode("utf-8", "replace")
-        x = x + 0.02 * x.sum() / len(LANGS)
-        for at in range(0, len(raw), PIECE):
-            words.append(raw[at : at + PIECE])
-            targets.append(x / x.sum())
-            weights.append(x.sum() ** 0.6)
-    return words, np.array(targets), np.array(weights)
+        kept = [(k, words) for k, words in data if sum(scored.get(w, zero) for w in words).argmax() == k]
+    return kept + [(k, words[i : i + 6]) for k, words in base for i in range(0, len(words), 6)]
+
+
+#: Share of training sequences of Cyrillic languages that are spelled in Latin letters, of sequences cut to one or a few words, and of those in which words of
+#: another language are put: they don't change the label.
+ROMANIZED, CUT, FOREIGN = 0.2, 0.3, 0.3
+
+
+def training_batches(sentences_: list[tuple[int, list[str]]]) -> Callable[[np.random.Generator], tuple]:
+    """A drawing function for :func:`lexloom.llm.gru.train`: each language as often as any other, words in a row from a random one on."""
+    by_lang = [[words for k, words in sentences_ if k == lang] for lang in range(len(LANGS))]
+    tables = [[t for name, t in _TABLES if name == lang] for lang in LANGS]
+
+    def draw(rng: np.random.Generator) -> tuple:
+        parts: list[bytes] = []
+        counts, labels = [], []
+        for lang in rng.integers(0, len(LANGS), TRAIN_BATCH):
+            words = by_lang[lang][rng.integers(len(by_lang[lang]))]
+            most = int(rng.integers(1, 4)) if rng.random() < CUT else len(words)
+            first = int(rng.integers(max(1, len(words) - most + 1))) if most < len(words) else int(rng.integers(max(1, len(words) // 2 + 1)))
+            table = tables[lang][rng.integers(len(tables[lang]))] if tables[lang] and rng.random() < ROMANIZED else None
+            taken, size = [], 0
+            run = [(w.translate(table) or w) if table else w for w in words[first : first + most]]
+            if len(run) > 1 and rng.random() < FOREIGN:
+                other = by_lang[rng.integers(0, len(LANGS))]
+                other = other[rng.integers(len(other))]
+                most = len(run) if tables[lang] and not table else max(1, len(run) // 3)  # names in Latin letters may be as many as the words around them
+                for _ in range(int(rng.integers(1, min(5, most + 1)))):
+                    run.insert(int(rng.integers(len(run) + 1)), other[rng.integers(len(other))])
+            for w in run:
+                raw = w.encode("utf-8", "replace")[:TRAIN_BYTES]
+                if taken and size + len(raw) + 1 > TRAIN_BYTES:
+                    break
+                taken.append(raw)
+                size += len(raw) + 1
+            if taken:
+                parts += taken
+                counts.append(len(taken))
+                labels.append(lang)
+        unit, x, live, weight = next(batches(parts, counts, 1 << 30))
+        return x, live, weight, np.eye(len(LANGS), dtype=np.float32)[np.array(labels)[unit]].T
+
+    return draw
 
 
 def training_sample(tables: list[tuple[DataFrame, str, str, str]], per_lang: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
@@ -263,13 +310,27 @@ def training_sample(tables: list[tuple[DataFrame, str, str, str]], per_lang: int
         order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
         ids = named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("id", "lang").distinct()
         texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
-        seen = {(r.id, r.lang): r.text for r in texts.limit(per_lang * len(LANGS) * 4).collect()}
+        # One text a sampled id and label: of redelivered rows that differ, the smallest.
+        seen = {(r.id, r.lang): r.text for r in texts.groupBy("id", "lang").agg(F.min("text").alias("text")).collect()}
         out += [(lang, text) for (_, lang), text in sorted(seen.items(), key=lambda x: (str(x[0][0]), x[0][1]))]
     return out
 
 
+_NETS: dict[int, ByteGRU] = {}
+
+
 def fit(tables: list[tuple[DataFrame, str, str, str]], per_lang: int = TRAIN_PER_LANG, steps: int = TRAIN_STEPS) -> ByteGRU:
-    return train(*training_words(training_sample(tables, per_lang)), steps=steps)
+    """The network for tables (frame, id, text, lang); the same sample is not trained on twice in one process."""
+    rows = training_sample(tables, per_lang)
+    key = hash((steps, tuple(rows)))
+    if key not in _NETS:
+        _NETS.clear()
+        _NETS[key] = fit_rows(rows, steps)
+    return _NETS[key]
+
+
+def fit_rows(rows: list[tuple[str, str]], steps: int = TRAIN_STEPS) -> ByteGRU:
+    return train(training_batches(training_sentences(rows)), len(LANGS), steps)
 
 
 _SCORERS: dict[int, Scorer] = {}

@@ -136,22 +136,44 @@ def test_gradients():
     rng = np.random.default_rng(2)
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    old, gru.F32 = gru.F32, np.float64
-    try:
-        x = rng.integers(0, 256, (5, 3))
-        y = rng.dirichlet(np.ones(3), 3)
-        _, g = net.gradients(x, y)
-        for k in net.p:
-            at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-            keep = net.p[k][at]
-            ends = []
-            for e in (1e-5, -1e-5):
-                net.p[k][at] = keep + e
-                ends.append(net.gradients(x, y)[0])
-            net.p[k][at] = keep
-            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-8)
-    finally:
-        gru.F32 = old
+    x = rng.integers(0, 256, (6, 3))
+    live = np.arange(6)[:, None] < np.array([3, 5, 6])
+    weight = live * rng.random((6, 3))
+    y = rng.dirichlet(np.ones(3), 3).T
+    _, g = net.gradients(x, live, weight, y)
+    for k in net.p:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        keep = net.p[k][at]
+        ends = []
+        for e in (1e-6, -1e-6):
+            net.p[k][at] = keep + e
+            ends.append(net.gradients(x, live, weight, y)[0])
+        net.p[k][at] = keep
+        assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(g[k][at], rel=1e-3, abs=1e-8)
+
+
+def test_padding_changes_nothing():
+    net = gru.ByteGRU(3, hidden=4, seed=1)
+    x = np.random.default_rng(4).integers(0, 256, (9, 2))
+    live = np.arange(9)[:, None] < np.array([4, 9])
+    alone = net.log_probs(x[:4, :1], live[:4, :1])
+    assert np.allclose(net.log_probs(np.where(live, x, 0), live)[:4, :, :1], alone, atol=1e-5)
+
+
+def test_windows_cover_every_position_once():
+    sizes = np.array([1, langid.WINDOW, langid.WINDOW + 1, 5000])
+    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    seen = np.zeros(starts[-1] + sizes[-1], int)
+    for unit, first, length, low, high in zip(*langid.windows(starts, sizes)):
+        assert length <= langid.WINDOW and starts[unit] <= first <= low < high <= first + length <= starts[unit] + sizes[unit]
+        seen[low:high] += 1
+    assert seen.sum() == sizes.sum() and seen.max() == 1
+    parts = [b"ab", b"c", b"d" * 700]
+    total = np.zeros(2)
+    for unit, x, live, weight in langid.batches(parts, [2, 1], 500):
+        np.add.at(total, unit, weight.sum(0))
+        assert x.shape == live.shape == weight.shape
+    assert total == pytest.approx([2, 1])  # every word counts 1
 
 
 SENTENCES = {
@@ -167,7 +189,7 @@ SENTENCES = {
 @pytest.fixture(scope="module")
 def net():
     rows = [(lang, " ".join(s)) for lang, s in SENTENCES.items()] * 3 + [("en", SENTENCES["ru"][0])]  # one wrong label
-    return gru.train(*langid.training_words(rows), steps=900)
+    return langid.fit_rows(rows, 500)
 
 
 def test_labels(net):
@@ -180,12 +202,22 @@ def test_labels(net):
     assert lang == "mixed" and [s["lang"] for s in segments] == ["ru", "de", "ru"] and [s["seg_no"] for s in segments] == [1, 2, 3]
     word = "Мой брат читает README и новую книгу дома. См. FAQ и новую книгу дома."
     assert langid.label_texts([word], net, False)[0][0] == "ru"
+    assert langid.sentences("Да. Нет. См. ниже. Gracias.") == ["Да.", "Нет.", "См. ниже.", "Gracias."]
     talk = f"USER: {SENTENCES['ru'][0]}\n\nAssistant: {SENTENCES['en'][1]}"
     assert langid.label_texts([talk], net, True)[0][0] == "mixed"
     assert langid.label_texts([None, "", " ", "123 ..."], net, False) == [(None, None, [])] * 4
     assert langid.label_texts([" ".join(SENTENCES["fr"]) * 2000], net, False)[0][0] == "fr"
 
 
+def test_a_sentence_of_one_word_can_stand_out():
+    scores = np.full((3, len(langid.LANGS)), -9.0)
+    scores[:, 0] = -0.1
+    for lead, lang in ((3.0, "ru"), (6.0, "mixed")):
+        scores[1, 0], scores[1, 5] = -0.1 - lead, -0.1
+        found = langid.decide(scores, np.array([5, 1, 4]))
+        assert found[0] == lang and [s[0] for s in found[2]] == (["ru"] if lang == "ru" else ["ru", "es", "ru"])
+
+
 def test_label_frame(spark, net):
     df = spark.createDataFrame([(1, "en", SENTENCES["ru"][0]), (1, "en", SENTENCES["ru"][0]), (2, None, None), (3, "ru", "junk junk"), (None, "ru", "x")], "rec long, lang string, text string").withColumn("confidence", F.lit("clash"))
     out = langid.label_languages(df, net, "rec", skip=F.col("rec") == 3, carry=F.col("lang")).collect()

@@ -96,7 +96,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes a core that an input is spread over all cores at most; larger inputs have splits enough.
-SPREAD_BYTES = 16 << 20
+SPREAD_BYTES = 4 << 20
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

@@ -52,14 +52,13 @@ class ByteGRU:
             offsets = np.r_[np.full(2 * h, 0.5), np.zeros(h)].astype(F32)
             self.p |= {"W" + d: rng.normal(0, 0.15, (256, 3 * h)).astype(F32), "U" + d: rng.normal(0, 0.4 * h**-0.5, (h, 3 * h)).astype(F32), "b" + d: offsets}
 
-    def _run(self, x: np.ndarray, live: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
-        """States (T, H, B) of one direction for bytes (T, B) in its order; what the backward pass needs goes to ``kept``."""
+    def _run(self, x: np.ndarray, live: np.ndarray, d: str, states: np.ndarray, kept: list | None = None) -> None:
+        """Fill ``states`` (T, H, B) of one direction for bytes (T, B) in its order; what the backward pass needs goes to ``kept``."""
         h, (steps, batch) = self.hidden, x.shape
         kind = self.p["V"].dtype
         table, u = np.ascontiguousarray((self.p["W" + d] + self.p["b" + d]).T), np.ascontiguousarray(self.p["U" + d].T)
         every = live.all(1)
         state = np.zeros((h, batch), kind)
-        states = np.empty((steps, h, batch), kind)
         gates, both = np.empty((3 * h, batch), kind), np.empty((3 * h, batch), kind)
         for t in range(steps):
             if kept is not None:
@@ -70,7 +69,7 @@ class ByteGRU:
             zr += both[: 2 * h]
             np.maximum(zr, 0, out=zr)
             np.minimum(zr, 1, out=zr)
-            n += zr[h:] * both[2 * h :]
+            n += zr[h:] * both[2 * h :] if kept is not None else np.multiply(zr[h:], both[2 * h :], out=both[2 * h :])
             np.maximum(n, -1, out=n)
             np.minimum(n, 1, out=n)
             if kept is not None:
@@ -80,34 +79,42 @@ class ByteGRU:
             new *= zr[:h]
             new += n
             if not every[t]:
-                new *= live[t]
+                new *= live[t].astype(kind)
             state = new
-        return states
 
-    def _out(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _states(self, x: np.ndarray, live: np.ndarray, kept_f: list | None = None, kept_b: list | None = None) -> np.ndarray:
+        """States of both directions (T, 2H, B), in the order of the bytes."""
         h = self.hidden
-        o = np.matmul(self.p["V"][:h].T, f)
-        o += np.matmul(self.p["V"][h:].T, b)
+        x = x.astype(np.intp)
+        states = np.empty((len(x), 2 * h, x.shape[1]), self.p["V"].dtype)
+        self._run(x, live, "f", states[:, :h], kept_f)
+        self._run(x[::-1], live[::-1], "b", states[::-1, h:], kept_b)
+        return states
+
+    def _out(self, states: np.ndarray) -> np.ndarray:
+        o = np.matmul(self.p["V"].T, states)
         o += self.p["c"][:, None]
-        o -= o.max(1, keepdims=True)
-        return o - np.log(np.exp(o).sum(1, keepdims=True))
+        if np.abs(self.p["V"]).sum(0).max() + np.abs(self.p["c"]).max() > 60:  # states are within -1 and 1, so below that no power overflows
+            o -= o.max(1, keepdims=True)
+        o -= np.log(np.exp(o).sum(1, keepdims=True))
+        return o
 
     def log_probs(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
         """(T, labels, B) for bytes (T, B) of which those where ``live`` is set belong to the sequences."""
-        return self._out(self._run(x, live, "f"), self._run(x[::-1], live[::-1], "b")[::-1])
+        return self._out(self._states(x, live))
 
     def gradients(self, x: np.ndarray, live: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and its gradients for bytes (T, B), the weight of each position (T, B; 0 for padding) and a label distribution (labels, B)."""
         h = self.hidden
         kept_f, kept_b = [], []
-        f, b = self._run(x, live, "f", kept_f), self._run(x[::-1], live[::-1], "b", kept_b)[::-1]
-        logp = self._out(f, b)
+        states = self._states(x, live, kept_f, kept_b)
+        logp = self._out(states)
         w = (weight / max(weight.sum(), 1e-9)).astype(logp.dtype)[:, None, :]
         loss = -float((logp * y * w).sum())
         d_out = (np.exp(logp) - y) * w
         flat = lambda q: q.transpose(1, 0, 2).reshape(q.shape[1], -1)
         o = flat(d_out)
-        g = {"V": np.vstack([flat(f) @ o.T, flat(b) @ o.T]), "c": o.sum(1)}
+        g = {"V": flat(states) @ o.T, "c": o.sum(1)}
         self._back(x, live, "f", kept_f, np.matmul(self.p["V"][:h], d_out), g)
         self._back(x[::-1], live[::-1], "b", kept_b, np.matmul(self.p["V"][h:], d_out)[::-1], g)
         return loss, g

@@ -63,6 +63,7 @@ _TABLES = [("ru", str.maketrans(ROMAN)), ("ru", str.maketrans(ROMAN | ROMAN_OTHE
 ABBREVIATIONS = frozenset("см ср г гг в вв т тт п пп д др пр ул рис стр табл гл им св руб коп тыс млн млрд mr mrs ms dr st vs no nr p pp fig ca bzw z d h b u a etc e g i cf m mme mlle sr sra ud uds pág págs núm ej art vol".split())
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
+_CAPITALS = re.compile("[A-Z]['’ʼ]?[A-Z]")
 _SPECIAL = re.compile(r"[^\x00-\x7fÀ-ɏЀ-ӿ‐-‟…«»№–—]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
 _TURN = re.compile(r"(?:^|\n)\s*(?:USER|ASSISTANT|SYSTEM)\s*:\s*", re.I)
@@ -96,6 +97,8 @@ def sentences(text: str) -> list[str]:
 def words_of(sentence: str) -> list[str]:
     """The words that tell something about the language: codes and acronyms (capitals among small letters) don't, unless there is nothing else."""
     words = _WORD.findall(sentence)
+    if not _CAPITALS.search(sentence):
+        return words
     plain = [w for w in words if not (len(w) > 1 and w.isascii() and w.isupper())]
     return plain if len(plain) * 3 >= len(words) else words
 
@@ -173,7 +176,7 @@ def batches(parts: list[bytes], counts: list[int], cells: int) -> Iterator[tuple
     A word's bytes share a weight of 1, the blanks between words have none."""
     size = np.array([len(p) for p in parts], np.int64)
     flat = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    weight = np.repeat(1 / np.maximum(size, 1), size + 1).astype(np.float32)
+    weight = np.repeat((1 / np.maximum(size, 1)).astype(np.float32), size + 1)
     ends = np.cumsum(size + 1)
     weight[ends - 1] = 0
     last = np.cumsum(counts) - 1
@@ -192,7 +195,11 @@ def batches(parts: list[bytes], counts: list[int], cells: int) -> Iterator[tuple
         steps = np.arange(int(length[w[-1]]))[:, None]
         live = steps < length[w]
         idx = np.minimum(at[w] + steps, len(flat) - 1)
-        yield unit[w], np.where(live, flat[idx], 0), live, np.where(live & (idx >= low[w]) & (idx < high[w]), weight[idx], 0)
+        share = weight[idx]
+        share *= live
+        if len(unit) > len(counts):  # some sentences have several windows, whose borders are context
+            share *= (idx >= low[w]) & (idx < high[w])
+        yield unit[w], flat[idx] * live, live, share
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:

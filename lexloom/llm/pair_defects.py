@@ -30,10 +30,10 @@ END_RATE = 0.04
 #: Weight, in occurrences, of the single word's rate in the rate of a pair of words.
 BACKOFF = 2.0
 
-# Fillers that say nothing.
+# Chosen by hand: fillers that say nothing.
 NOTHING = ("n/a", "na", "null", "none", "nil", "nan", "undefined", "empty", "-", "нет ответа", "no answer", "no response", "todo", "tbd")
 
-# Function words by language.
+# Chosen by hand: function words by language.
 FUNCTION_WORDS = {
     "ru": "и в во не на я что он с со как а то все она так его но да ты к у же вы за бы по только её мне было вот от меня ещё нет о из ему теперь когда даже ну ли если уже или ни быть был него до вас опять вам ведь там потом себя ничего ей может они тут где есть надо для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет тогда кто этот потому этого какой совсем этом этой перед сразу после через хотя пока",
     "en": "the of and to in is you that it he was for on are as with his they at be this have from or one had by but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more go see no way could my than first been who its now find down did get come may part this because",
@@ -43,10 +43,10 @@ FUNCTION_WORDS = {
     "es": "el la los las de del un una unos y a en con por para al que es no se su sus lo le mi tu nuestro nuestra pero o si como más muy cada después antes cuando porque aunque hoy ayer esta este junto mientras veces",
 }
 _WORDS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-# Letters that point to a language among those of its script.
+# Chosen by hand: letters that point to a language among those of its script.
 _LETTERS = {"ru": "ыэъё", "uk": "іїєґ", "de": "äöüß", "fr": "àâçèêëîïôœùûÿ", "es": "ñ¿¡áíóú"}
 
-# A translation or an answer in a language that is named is asked for.
+# Chosen by hand: a translation or an answer in a language that is named is asked for.
 _ASKED = re.compile(
     r"\b(?:перев[её]д|переклад|перекласт|translat|übersetz|tradui|traduc)|"
     r"\b(?:на|по)[ -](?:английск|немецк|французск|испанск|украинск|русск|китайск|итальянск)|"
@@ -54,7 +54,7 @@ _ASKED = re.compile(
     re.I,
 )
 
-# Refusing phrases, and phrases with the same words that do not refuse.
+# Chosen by hand: refusing phrases, and phrases with the same words that do not refuse.
 _NOT_REFUSING = re.compile(
     r"не (?:могу|можу) не |(?:can['’]?t|cannot|couldn['’]?t) help (?:but|\w+ing)|(?:can['’]?t|cannot) (?:recommend|thank|praise|stress|wait|say)\b[^.!?]*\benough|"
     r"not able to (?:sit|stand|wait|stop|help but)|(?:отказать(?:ся)?|отказываться) (?:тут |здесь |от этого )?(?:сложно|трудно|нельзя|невозможно)|nobody can refuse|hard to refuse",

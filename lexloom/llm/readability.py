@@ -2,7 +2,9 @@
 
 Sentence length alone misleads here (long chains of plain statements, short sentences full of terms), so a text is cut into clauses, at
 stops and at the joints of a chain. Each clause gets several grade estimates from its length, its syllables per word (counted by
-hyphenation-style rules) and its long words; their median is the clause's grade. The level is read from the word-weighted median over
+vowel-group rules) and its long words; their median is the clause's grade. The formulas are those of Flesch-Kincaid, ARI, Coleman-Liau, Fog, SMOG and Lix
+with two changes: a clause takes the place of a sentence, and a long word has four syllables or more in all of them (three in Fog and SMOG, more than six
+letters in Lix as published), as the corpus is largely Russian, where words are longer. The level is read from the word-weighted median over
 the clauses, so that single deviating sentences change nothing.
 """
 

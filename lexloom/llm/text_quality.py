@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Frequent function words of the languages of the corpus, as whole lower-case words.
+# Chosen by hand: frequent function words of the languages of the corpus, as whole lower-case words.
 COMMON_WORDS = (
     "the of and to in a is that for on with as by at from this an or be are it was not "
     "в и на с по для к за у о от до из что как не при под над или но же а я он она мы это его "

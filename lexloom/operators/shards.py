@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lexloom.operators.prefix import prefix_sum
+from lexloom.session import materialize
 from lexloom.tokenizer.vocab import EOS
 
 
@@ -31,26 +36,88 @@ def byte_tokens(text: Column | str) -> Column:
     return ids(F.encode(F.col(text) if isinstance(text, str) else text, "utf-8"))
 
 
+#: Tokens that one task cuts into shards (one shard at least), the most such parts, and ids or bytes of a row that Python gets: a batch has a bound in bytes whatever the documents' length.
+PART_TOKENS = 4 << 20
+MOST_PARTS = 20_000
+PIECE_LENGTH = 1 << 10
+
+
 def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", ids_col: str = "ids", add_eos: bool = True) -> DataFrame:
     """``shard, tokens``: the documents' ids in id order, with an end mark each, cut into shards of exactly ``tokens_per_shard``; the last is shorter.
 
-    Only (id, size) goes through the prefix sum. Each document is then cut at the shard borders it crosses, and a shard gathers its own
-    pieces: its size is bounded by ``tokens_per_shard``. Null id lists count as empty."""
+    ``ids_col`` has arrays of ids, or binary values whose bytes are the ids (a quarter of the bytes to move). Null counts as empty. Ids of documents must be unique and not null.
+
+    Only (id, size) goes through the prefix sum. It gives the documents at the borders of parts of whole shards, a small table; every document then goes to the parts
+    it has tokens in, which is the only shuffle of its ids, and a task cuts the sorted stream of a part, holding one shard at a time."""
     if tokens_per_shard < 1:
         raise ValueError("tokens_per_shard must be positive")
-    ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
-    if add_eos:
-        ids = F.concat(ids, F.array(F.lit(EOS)))
-    docs = df.select(F.col(id_col).alias("_id"), ids.alias("_ids"))
-    at = prefix_sum(docs.select("_id", F.size("_ids").cast("long").alias("_n")), "_n", ["_id"], name="_at")
-    placed = docs.where(F.size("_ids") > 0).join(at.where("_n > 0").select("_id", "_at"), "_id")
-    size = F.lit(tokens_per_shard).cast("long")
-    first, last = F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.size("_ids") - 1) / size)
-    pieces = placed.select("_at", "_ids", F.explode(F.sequence(first, last)).alias("shard"))
-    start = F.greatest(F.lit(0).cast("long"), F.col("shard") * size - F.col("_at"))
-    end = F.least(F.size("_ids").cast("long"), (F.col("shard") + 1) * size - F.col("_at"))
-    cut = pieces.select(F.col("shard").cast("int").alias("shard"), (F.col("_at") + start).alias("pos"), F.slice("_ids", (start + 1).cast("int"), (end - start).cast("int")).alias("part"))
-    return cut.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p")).select("shard", F.flatten("p.part").alias("tokens"))
+    binary = df.schema[ids_col].dataType == BinaryType()
+    docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(ids_col), F.lit(b"") if binary else F.array().cast("array<int>")).alias("_ids"))
+    length = F.octet_length("_ids") if binary else F.size("_ids")
+    docs = docs.where(length + int(add_eos) > 0)
+    sizes = materialize(docs.select("_id", (length.cast("long") + int(add_eos)).alias("_n")), "sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    part_tokens = max(min(PART_TOKENS, total // (2 * df.sparkSession.sparkContext.defaultParallelism)), total // MOST_PARTS, 1)
+    per_part = -(-part_tokens // tokens_per_shard)
+    width = per_part * tokens_per_shard
+    at = prefix_sum(sizes, "_n", ["_id"], name="_at").select("_id", "_at", F.expr(f"(_at + {width - 1}) div {width}").alias("_from"), F.expr(f"(_at + _n - 1) div {width}").alias("_to"))
+    # The documents that hold the first token of a part, in order of the parts: at most MOST_PARTS and one.
+    borders = at.where("_from <= _to").select(F.explode(F.sequence("_from", "_to")).alias("_part"), "_id", "_at").orderBy("_part").collect()
+    firsts, starts = pd.Series([r["_id"] for r in borders]).to_numpy(), np.array([r["_at"] for r in borders], np.int64)
+    inside = starts < np.arange(len(starts)) * width  # the document begins in the part before
+
+    @F.pandas_udf("first int, last int")
+    def parts(ids: pd.Series) -> pd.DataFrame:
+        x = ids.to_numpy()
+        low, last = np.searchsorted(firsts, x, "left"), np.searchsorted(firsts, x, "right") - 1
+        on_border = low <= last
+        first = np.where(on_border, low - inside[np.minimum(low, len(firsts) - 1)], last)
+        return pd.DataFrame({"first": first.astype(np.int32), "last": last.astype(np.int32)})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, shard, held = -1, 0, 0, []
+
+        def rows(tokens: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+            step = max(1, (1 << 20) // size) * size
+            for i in range(0, len(tokens), step):
+                some = tokens[i : i + step]
+                ends = np.arange(0, len(some) + 1, size, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard + i // size + np.arange(len(ends) - 1), pa.int32()), pa.ListArray.from_arrays(ends, some)], ["shard", "tokens"])
+
+        for batch in batches:
+            keys, marks, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(1)
+            lists = lists.cast(pa.large_binary() if binary else pa.large_list(pa.int32()))
+            offsets = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int64)
+            values = np.frombuffer(lists.buffers()[2] or b"", np.uint8) if binary else lists.values.to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)] if len(keys) else [0]
+            for a, b in zip(edges, edges[1:]):
+                if keys[a] != part:
+                    if held:
+                        last = np.concatenate(held)
+                        yield from rows(last, len(last))
+                    part = int(keys[a])
+                    at, shard, held = int(starts[part]), part * per_part, []
+                tokens = values[offsets[a] : offsets[b]].astype(np.int32)
+                if add_eos:
+                    tokens = np.insert(tokens, (offsets[a + 1 : b + 1] - offsets[a])[marks[a:b]], EOS)
+                own = tokens[max(0, part * width - at) : max(0, (part + 1) * width - at)]
+                at += len(tokens)
+                held.append(own)
+                if sum(map(len, held)) >= tokens_per_shard:
+                    own = np.concatenate(held)
+                    whole = len(own) // tokens_per_shard * tokens_per_shard
+                    yield from rows(own[:whole], tokens_per_shard)
+                    shard += whole // tokens_per_shard
+                    held = [own[whole:]]
+                held = [x for x in held if len(x)]
+        if held:
+            last = np.concatenate(held)
+            yield from rows(last, len(last))
+
+    placed = docs.withColumn("_p", parts("_id")).select(F.explode(F.sequence("_p.first", "_p.last")).alias("_part"), "_id", "_ids").repartition("_part").sortWithinPartitions("_part", "_id")
+    piece = lambda i: F.substring("_ids", i + 1, F.lit(PIECE_LENGTH)) if binary else F.slice("_ids", i + 1, F.lit(PIECE_LENGTH))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(PIECE_LENGTH)), lambda i: F.struct(piece(i).alias("ids"), (i + PIECE_LENGTH >= length).alias("last")))
+    return placed.select("_part", F.explode(pieces).alias("p")).select("_part", "p.ids", "p.last").mapInArrow(cut, "shard int, tokens array<int>")
 
 
 def shard_manifest(shards: DataFrame, vocab_size: int) -> DataFrame:

@@ -181,6 +181,22 @@ def test_shards_and_windows(spark):
     assert b.count() == 8 and shards.batches(spark.range(10), ["id"], 4, drop_last=False).count() == 10
 
 
+def test_shards_of_bytes(spark, monkeypatch):
+    """Bytes as ids, documents longer than a piece, a shard and a part, several parts, no end marks, nothing at all."""
+    rng = random.Random(6)
+    docs = [(i * 7 % 61, rng.randbytes(rng.choice([0, 1, 40, 3000, 20_000]))) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(docs, "doc_id long, ids binary")
+    assert shards.token_shards(df.limit(0), 50).count() == 0
+    monkeypatch.setattr(shards, "PART_TOKENS", 5000)
+    for eos, size in ((True, 1700), (False, 1700), (True, 1), (False, 10**7)):
+        part = df if size > 1 else df.where("doc_id < 20 and octet_length(ids) < 50")
+        stream = [t for _, ids in sorted(map(tuple, part.collect())) for t in [*(ids or b""), *[258] * eos]]
+        got = {r.shard: r.tokens for r in shards.token_shards(part, size, add_eos=eos).collect()}
+        assert got == {k: stream[k * size : (k + 1) * size] for k in range(-(-len(stream) // size))}
+    plan = shards.token_shards(df, 1700)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "collect_list" not in plan
+
+
 def test_budgets(spark):
     df = spark.createDataFrame([(i, 10) for i in range(20)], "doc_id long, n long")
     assert sorted(r.doc_id for r in budget.within_budget(df, "n", 35).collect()) == [0, 1, 2, 3]

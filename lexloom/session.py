@@ -90,6 +90,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are over, which it does when the driver collects its garbage; else they stay beside those of the next steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``<sf_dir>/<name>.parquet``, a file or a folder of files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

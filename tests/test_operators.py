@@ -86,6 +86,31 @@ def test_signatures_estimate_jaccard():
     assert 0 < len(x & y) / len(x | y) < 1
 
 
+def test_keys_lose_nothing_and_find_little_else(spark):
+    rng = random.Random(8)
+    for threshold in (0.76, 0.8, 0.92, 1.0):
+        differ = int((1 - threshold) * 128 + 1e-9)
+        keys = dedup.band_keys(threshold)
+        assert len(keys) <= dedup.MOST_KEYS
+        for _ in range(500):
+            changed = set(rng.sample(range(128), differ))
+            assert any(not changed & set(k) for k in keys)
+    # Texts of which half agrees: with keys of 4 values most pairs were candidates.
+    assert sum(0.5 ** len(k) for k in dedup.band_keys(0.8)) < 0.6 and sum(0.5 ** len(k) for k in dedup.band_keys(0.92)) < 0.001
+    words = [f"word{i}" for i in range(400)]
+    base = [" ".join(rng.sample(words, 60)) for _ in range(25)]
+    texts = [" ".join(w if rng.random() > share else "x" + w for w in rng.choice(base).split()) for share in (0.0, 0.02, 0.05, 0.1) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once = dedup.exact_dedup(df)
+    signs = {r.doc_id: np.array(r.s) for r in once.select("doc_id", dedup.minhash_signature("text").alias("s")).collect()}
+    for threshold in (0.8, 0.92):
+        want = {(a, b, float((x == y).mean())) for a, x in signs.items() for b, y in signs.items() if a < b and (x == y).mean() >= threshold}
+        assert want and {tuple(r) for r in dedup.minhash_pairs(once, threshold=threshold).collect()} == want
+    a, b = dedup._coefficients(dedup.PERMUTATIONS)
+    brute = ((dedup.char_shingles(texts[0])[:, None] * a + b) & np.uint64(0xFFFFFFFF)).min(0)
+    assert signs[0].tolist() == brute.tolist()
+
+
 def test_template_cap_and_stages(spark):
     rows = [(i, f"USER: text number {i} {'abc' * i}\n\nASSISTANT: answer {i * i}", ["s"]) for i in range(1, 6)] + [(6, "same", None), (7, "same", []), (8, "other words here", [])]
     df = spark.createDataFrame(rows, "dialogue_id long, text string, signature array<string>")

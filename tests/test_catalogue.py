@@ -40,6 +40,13 @@ def test_query(spark, data, tables, name):
         assert canonical(got) == canonical(want)
 
 
+@pytest.mark.parametrize("name", ["sequence_windows", "shard_manifest"])
+def test_tokens_are_not_shuffled(spark, data, name):
+    """The texts are shuffled as bytes, once; shards are neither collected by an aggregate nor moved as lists of ids."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and plan.count("RepartitionByExpression") == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

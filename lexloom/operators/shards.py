@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,27 @@ MOST_PARTS = 20_000
 PIECE_LENGTH = 1 << 10
 
 
+def _stream(df: DataFrame, id_col: str, ids_col: str, add_eos: bool) -> tuple[DataFrame, Column, DataFrame]:
+    """``_id, _ids`` of the documents that have tokens, the number of their ids, and ``_id, _n`` with the end mark, written once."""
+    binary = df.schema[ids_col].dataType == BinaryType()
+    docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(ids_col), F.lit(b"") if binary else F.array().cast("array<int>")).alias("_ids"))
+    length = F.octet_length("_ids") if binary else F.size("_ids")
+    docs = docs.where(length + int(add_eos) > 0)
+    return docs, length, materialize(docs.select("_id", (length.cast("long") + int(add_eos)).alias("_n")), "sizes")
+
+
+#: Makes record batches of the tokens of one or more shards of a size, given the number of the first.
+Emit = Callable[[int, np.ndarray, int], Iterator[pa.RecordBatch]]
+
+
+def _whole(shard: int, tokens: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, (1 << 20) // size) * size
+    for i in range(0, len(tokens), step):
+        some = tokens[i : i + step]
+        ends = np.arange(0, len(some) + 1, size, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(shard + i // size + np.arange(len(ends) - 1), pa.int32()), pa.ListArray.from_arrays(ends, some)], ["shard", "tokens"])
+
+
 def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", ids_col: str = "ids", add_eos: bool = True) -> DataFrame:
     """``shard, tokens``: the documents' ids in id order, with an end mark each, cut into shards of exactly ``tokens_per_shard``; the last is shorter.
 
@@ -49,13 +70,27 @@ def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", i
 
     Only (id, size) goes through the prefix sum. It gives the documents at the borders of parts of whole shards, a small table; every document then goes to the parts
     it has tokens in, which is the only shuffle of its ids, and a task cuts the sorted stream of a part, holding one shard at a time."""
+    return _cut(df, tokens_per_shard, id_col, ids_col, add_eos, _whole, "shard int, tokens array<int>")
+
+
+def shard_sizes(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", ids_col: str = "ids", add_eos: bool = True) -> DataFrame:
+    """``shard, n``: the tokens in each shard of :func:`token_shards`, from where each document's tokens begin and end in the stream. Only ids and sizes are moved.
+
+    A shard has at most ``tokens_per_shard`` rows to add up; only a document that has more tokens is in several shards in full."""
+    if tokens_per_shard < 1:
+        raise ValueError("tokens_per_shard must be positive")
+    _, _, sizes = _stream(df, id_col, ids_col, add_eos)
+    at = prefix_sum(sizes, "_n", ["_id"], name="_at")
+    held = at.select("_at", (F.col("_at") + F.col("_n")).alias("_end"), F.explode(F.expr(f"sequence(_at div {tokens_per_shard}, (_at + _n - 1) div {tokens_per_shard})")).alias("_s"))
+    n = F.least("_end", (F.col("_s") + 1) * tokens_per_shard) - F.greatest("_at", F.col("_s") * tokens_per_shard)
+    return held.select(F.col("_s").cast("int").alias("shard"), n.alias("n")).repartition("shard").groupBy("shard").agg(F.sum("n").alias("n"))
+
+
+def _cut(df: DataFrame, tokens_per_shard: int, id_col: str, ids_col: str, add_eos: bool, emit: Emit, schema: str) -> DataFrame:
     if tokens_per_shard < 1:
         raise ValueError("tokens_per_shard must be positive")
     binary = df.schema[ids_col].dataType == BinaryType()
-    docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(ids_col), F.lit(b"") if binary else F.array().cast("array<int>")).alias("_ids"))
-    length = F.octet_length("_ids") if binary else F.size("_ids")
-    docs = docs.where(length + int(add_eos) > 0)
-    sizes = materialize(docs.select("_id", (length.cast("long") + int(add_eos)).alias("_n")), "sizes")
+    docs, length, sizes = _stream(df, id_col, ids_col, add_eos)
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     part_tokens = max(min(PART_TOKENS, total // (2 * df.sparkSession.sparkContext.defaultParallelism)), total // MOST_PARTS, 1)
     per_part = -(-part_tokens // tokens_per_shard)
@@ -76,14 +111,6 @@ def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, shard, held = -1, 0, 0, []
-
-        def rows(tokens: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-            step = max(1, (1 << 20) // size) * size
-            for i in range(0, len(tokens), step):
-                some = tokens[i : i + step]
-                ends = np.arange(0, len(some) + 1, size, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard + i // size + np.arange(len(ends) - 1), pa.int32()), pa.ListArray.from_arrays(ends, some)], ["shard", "tokens"])
-
         for batch in batches:
             keys, marks, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(1)
             lists = lists.cast(pa.large_binary() if binary else pa.large_list(pa.int32()))
@@ -94,7 +121,7 @@ def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", i
                 if keys[a] != part:
                     if held:
                         last = np.concatenate(held)
-                        yield from rows(last, len(last))
+                        yield from emit(shard, last, len(last))
                     part = int(keys[a])
                     at, shard, held = int(starts[part]), part * per_part, []
                 tokens = values[offsets[a] : offsets[b]].astype(np.int32)
@@ -106,26 +133,26 @@ def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", i
                 if sum(map(len, held)) >= tokens_per_shard:
                     own = np.concatenate(held)
                     whole = len(own) // tokens_per_shard * tokens_per_shard
-                    yield from rows(own[:whole], tokens_per_shard)
+                    yield from emit(shard, own[:whole], tokens_per_shard)
                     shard += whole // tokens_per_shard
                     held = [own[whole:]]
                 held = [x for x in held if len(x)]
         if held:
             last = np.concatenate(held)
-            yield from rows(last, len(last))
+            yield from emit(shard, last, len(last))
 
     placed = docs.withColumn("_p", parts("_id")).select(F.explode(F.sequence("_p.first", "_p.last")).alias("_part"), "_id", "_ids").repartition("_part").sortWithinPartitions("_part", "_id")
     piece = lambda i: F.substring("_ids", i + 1, F.lit(PIECE_LENGTH)) if binary else F.slice("_ids", i + 1, F.lit(PIECE_LENGTH))
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(PIECE_LENGTH)), lambda i: F.struct(piece(i).alias("ids"), (i + PIECE_LENGTH >= length).alias("last")))
-    return placed.select("_part", F.explode(pieces).alias("p")).select("_part", "p.ids", "p.last").mapInArrow(cut, "shard int, tokens array<int>")
+    return placed.select("_part", F.explode(pieces).alias("p")).select("_part", "p.ids", "p.last").mapInArrow(cut, schema)
 
 
 def shard_manifest(shards: DataFrame, vocab_size: int) -> DataFrame:
-    """One row: dtype, number of shards, tokens in all, and name and size of each shard in order."""
-    rows = shards.select(F.struct(F.format_string("shard_%05d.bin", "shard").alias("file"), F.size("tokens").cast("long").alias("tokens")).alias("s"))
-    return rows.agg(
-        F.max(pick_dtype(vocab_size)).alias("dtype"), F.count(F.lit(1)).alias("num_shards"), F.coalesce(F.sum("s.tokens"), F.lit(0)).alias("total_tokens"), F.array_sort(F.collect_list("s")).alias("shards")
-    )
+    """One row: dtype, number of shards, tokens in all, and name and size of each shard in order. ``shards`` has their tokens or, as from :func:`shard_sizes`, their sizes ``n``."""
+    n = F.col("n") if "n" in shards.columns else F.size("tokens")
+    rows = shards.select("shard", F.struct(F.format_string("shard_%05d.bin", "shard").alias("file"), n.cast("long").alias("tokens")).alias("s"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("shard", "s"))), lambda x: x["s"])  # by number: names of more than five digits sort otherwise
+    return rows.agg(F.max(pick_dtype(vocab_size)).alias("dtype"), F.count(F.lit(1)).alias("num_shards"), F.coalesce(F.sum("s.tokens"), F.lit(0)).alias("total_tokens"), listed.alias("shards"))
 
 
 def sequence_windows(shards: DataFrame, seq_len: int, stride: int | None = None) -> DataFrame:

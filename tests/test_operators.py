@@ -222,6 +222,22 @@ def test_shards_of_bytes(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "collect_list" not in plan
 
 
+def _bytes(spark):
+    rng = random.Random(8)
+    return spark.createDataFrame([(i * 7 % 61, rng.randbytes(rng.choice([0, 1, 40, 3000, 20_000]))) for i in range(60)] + [(99, None)], "doc_id long, ids binary")
+
+
+def test_shard_sizes(spark):
+    """The sizes of the shards without their tokens, and a manifest in order of the numbers, which is not that of the names."""
+    df = _bytes(spark)
+    for eos, size in ((True, 1700), (False, 1700), (True, 10**7)):
+        want = {r.shard: len(r.tokens) for r in shards.token_shards(df, size, add_eos=eos).collect()}
+        assert {r.shard: r.n for r in shards.shard_sizes(df, size, add_eos=eos).collect()} == want
+    assert shards.shard_sizes(df.limit(0), 50).count() == 0 and shards.shard_manifest(shards.shard_sizes(df.limit(0), 50), 968).first().num_shards == 0
+    m = shards.shard_manifest(spark.range(99_998, 100_002).select(F.col("id").cast("int").alias("shard"), F.lit(5).alias("n")), 968).first()
+    assert [x.file for x in m.shards] == [f"shard_{k:05d}.bin" for k in range(99_998, 100_002)] and m.total_tokens == 20
+
+
 def test_budgets(spark):
     df = spark.createDataFrame([(i, 10) for i in range(20)], "doc_id long, n long")
     assert sorted(r.doc_id for r in budget.within_budget(df, "n", 35).collect()) == [0, 1, 2, 3]

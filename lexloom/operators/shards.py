@@ -40,6 +40,8 @@ def byte_tokens(text: Column | str) -> Column:
 PART_TOKENS = 4 << 20
 MOST_PARTS = 20_000
 PIECE_LENGTH = 1 << 10
+#: Tokens of the windows that a batch from Python has.
+WINDOW_TOKENS = 1 << 18
 
 
 def _stream(df: DataFrame, id_col: str, ids_col: str, add_eos: bool) -> tuple[DataFrame, Column, DataFrame]:
@@ -73,6 +75,24 @@ def token_shards(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", i
     return _cut(df, tokens_per_shard, id_col, ids_col, add_eos, _whole, "shard int, tokens array<int>")
 
 
+def token_windows(df: DataFrame, tokens_per_shard: int, seq_len: int, stride: int | None = None, id_col: str = "doc_id", ids_col: str = "ids", add_eos: bool = True) -> DataFrame:
+    """``shard, start, ids``: what :func:`sequence_windows` gives of :func:`token_shards`. Windows are cut where shards are, so that no row holds a shard, let alone one for each window."""
+    step = stride or seq_len
+    if min(seq_len, step) < 1:
+        raise ValueError("seq_len and stride must be positive")
+
+    def windows(shard: int, tokens: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+        each = max(0, (size - seq_len) // step + 1)
+        most = max(1, WINDOW_TOKENS // seq_len)
+        for i in range(0, len(tokens) // size * each, most):
+            k, n = np.divmod(np.arange(i, min(i + most, len(tokens) // size * each)), each)
+            ids = tokens[(k * size + n * step)[:, None] + np.arange(seq_len)]
+            ends = np.arange(0, ids.size + 1, seq_len, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard + k, pa.int32()), pa.array(n * step, pa.int32()), pa.ListArray.from_arrays(ends, ids.ravel())], ["shard", "start", "ids"])
+
+    return _cut(df, tokens_per_shard, id_col, ids_col, add_eos, windows, "shard int, start int, ids array<int>")
+
+
 def shard_sizes(df: DataFrame, tokens_per_shard: int, id_col: str = "doc_id", ids_col: str = "ids", add_eos: bool = True) -> DataFrame:
     """``shard, n``: the tokens in each shard of :func:`token_shards`, from where each document's tokens begin and end in the stream. Only ids and sizes are moved.
 

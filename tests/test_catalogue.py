@@ -47,7 +47,7 @@ def test_tokens_are_not_shuffled(spark, data, name):
     assert "flatten" not in plan and plan.count("RepartitionByExpression") == 1
 
 
-@pytest.mark.parametrize(("name", "without"), [("shard_manifest", "MapInArrow")])
+@pytest.mark.parametrize(("name", "without"), [("sequence_windows", "tokens#"), ("shard_manifest", "MapInArrow")])
 def test_shards_are_not_rows(spark, data, name, without):
     """No row holds the tokens of a whole shard; sizes alone need neither texts in a shuffle nor Python."""
     assert without not in QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()

@@ -238,6 +238,16 @@ def test_shard_sizes(spark):
     assert [x.file for x in m.shards] == [f"shard_{k:05d}.bin" for k in range(99_998, 100_002)] and m.total_tokens == 20
 
 
+def test_token_windows(spark, monkeypatch):
+    """Windows as those of the finished shards, with and without overlap, over several batches, and none where a shard is too short."""
+    df = _bytes(spark)
+    monkeypatch.setattr(shards, "PART_TOKENS", 5000)
+    monkeypatch.setattr(shards, "WINDOW_TOKENS", 700)
+    for size, seq_len, stride in ((1700, 128, None), (1700, 128, 50), (300, 7, 11), (100, 101, None), (10**7, 1000, None)):
+        want = {(r.shard, r.start): r.ids for r in shards.sequence_windows(shards.token_shards(df, size), seq_len, stride).collect()}
+        assert {(r.shard, r.start): r.ids for r in shards.token_windows(df, size, seq_len, stride).collect()} == want
+
+
 def test_budgets(spark):
     df = spark.createDataFrame([(i, 10) for i in range(20)], "doc_id long, n long")
     assert sorted(r.doc_id for r in budget.within_budget(df, "n", 35).collect()) == [0, 1, 2, 3]

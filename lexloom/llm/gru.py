@@ -94,21 +94,62 @@ class ByteGRU:
     def _out(self, states: np.ndarray) -> np.ndarray:
         o = np.matmul(self.p["V"].T, states)
         o += self.p["c"][:, None]
+        return o
+
+    def _softmax(self, o: np.ndarray) -> np.ndarray:
         if np.abs(self.p["V"]).sum(0).max() + np.abs(self.p["c"]).max() > 60:  # states are within -1 and 1, so below that no power overflows
             o -= o.max(1, keepdims=True)
         o -= np.log(np.exp(o).sum(1, keepdims=True))
         return o
 
     def log_probs(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """(T, labels, B) for bytes (T, B) of which those where ``live`` is set belong to the sequences."""
-        return self._out(self._states(x, live))
+        """(T, labels, B) for bytes (T, B) of which those where ``live`` is set belong to the sequences.
+
+        Sequences in ascending order of length, each from the first row on, are read without their padding; what is there is that of a state of zero."""
+        first = x.shape[1] - live.sum(1)  # of the sequences that go on
+        if not len(x) or not (live == (np.arange(x.shape[1]) >= first[:, None])).all() or (np.diff(first) < 0).any():
+            return self._softmax(self._out(self._states(x, live)))
+        x = x.astype(np.intp)
+        out = np.empty((len(x), self.labels, x.shape[1]), self.p["V"].dtype)
+        out[:] = self.p["c"][:, None]
+        for d, v in zip("fb", (self.p["V"][: self.hidden], self.p["V"][self.hidden :])):
+            self._read(x, first, d, np.ascontiguousarray(v.T), out)
+        return self._softmax(out)
+
+    def _read(self, x: np.ndarray, first: np.ndarray, d: str, v: np.ndarray, out: np.ndarray) -> None:
+        """Add what one direction's states give to the labels, without keeping them. Here arrays are by gate, sequence and feature: a byte's part of a gate is one block of memory."""
+        h, (steps, batch) = self.hidden, x.shape
+        kind = v.dtype
+        block = np.dtype((np.void, h * kind.itemsize))
+        tables = [np.ascontiguousarray(q).view(block)[:, 0] for q in np.split(self.p["W" + d] + self.p["b" + d], 3, 1)]
+        u = np.stack(np.split(self.p["U" + d], 3, 1))
+        zero, one = kind.type(0), kind.type(1)
+        state = np.zeros((batch, h), kind)
+        all_gates, all_both = np.empty((3, batch, h), kind), np.empty((3, batch, h), kind)
+        blocks = all_gates.view(block)[..., 0]
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            k = first[t]
+            s, gates, both, at = state[k:], all_gates[:, k:], all_both[:, k:], x[t, k:]
+            for table, gate in zip(tables, blocks):
+                table.take(at, out=gate[k:], mode="clip")
+            np.matmul(s, u, out=both)
+            zr, n = gates[:2], gates[2]
+            zr += both[:2]
+            zr.clip(zero, one, out=zr)
+            both[2] *= zr[1]
+            n += both[2]
+            n.clip(-one, one, out=n)
+            s -= n
+            s *= zr[0]
+            s += n
+            out[t, :, k:] += np.dot(v, s.T)
 
     def gradients(self, x: np.ndarray, live: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and its gradients for bytes (T, B), the weight of each position (T, B; 0 for padding) and a label distribution (labels, B)."""
         h = self.hidden
         kept_f, kept_b = [], []
         states = self._states(x, live, kept_f, kept_b)
-        logp = self._out(states)
+        logp = self._softmax(self._out(states))
         w = (weight / max(weight.sum(), 1e-9)).astype(logp.dtype)[:, None, :]
         loss = -float((logp * y * w).sum())
         d_out = (np.exp(logp) - y) * w

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -131,6 +132,26 @@ def test_token_budget(spark):
 # --- 3 languages ---------------------------------------------------------------------------------------------------
 
 
+def test_labels_without_states():
+    """Labels as those of the states that training keeps, in any order of the sequences, read without keeping the states."""
+    rng = np.random.default_rng(5)
+    net = gru.ByteGRU(6, seed=4)
+    for sizes in ([3, 5, 5, 40], [40, 3, 5, 5], [7], [1, 1]):
+        x = rng.integers(0, 256, (max(sizes), len(sizes)))
+        live = np.arange(max(sizes))[:, None] < np.array(sizes)
+        states = net._states(x, live)
+        want = np.einsum("hl,thb->tlb", net.p["V"], states) + net.p["c"][:, None]
+        want -= np.log(np.exp(want).sum(1, keepdims=True))
+        got = net.log_probs(x, live)
+        assert np.abs((got - want).transpose(0, 2, 1)).max() < 1e-5 and got.dtype == np.float32
+    x = rng.integers(0, 256, (256, 500))
+    tracemalloc.start()
+    net.log_probs(x, np.ones(x.shape, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.size * 2 * net.hidden * 4
+
+
 def test_gradients():
     net = gru.ByteGRU(3, hidden=4, seed=1)
     rng = np.random.default_rng(2)
